@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .near_dedup import op10_near_dedup
 from .pii import op2_pii
 from .quality_rules import op4_quality_rules
 from .token_counts import op8_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_quality_rules": op4_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
