@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
 from .near_dedup import op10_near_dedup
 from .pii import op2_pii
 from .quality_rules import op4_quality_rules
@@ -9,6 +10,7 @@ from .token_counts import op8_token_counts
 from .token_output import op3_token_output
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
     "op3_token_output": op3_token_output,
     "op4_quality_rules": op4_quality_rules,
