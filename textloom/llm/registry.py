@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op1_decontamination
 from .near_dedup import op10_near_dedup
+from .piece_sampling import op7_piece_sampling
 from .pii import op2_pii
 from .quality_rules import op4_quality_rules
 from .token_counts import op8_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_token_output": op3_token_output,
     "op4_quality_rules": op4_quality_rules,
+    "op7_piece_sampling": op7_piece_sampling,
     "op8_token_counts": op8_token_counts,
     "op10_near_dedup": op10_near_dedup,
 }
