@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontamination import op1_decontamination
+from .licence_scan import ORACLE_SQL as LICENCE_SQL
+from .licence_scan import op6_licence_scan
 from .near_dedup import op10_near_dedup
 from .piece_sampling import op7_piece_sampling
 from .pii import op2_pii
@@ -15,9 +17,10 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_token_output": op3_token_output,
     "op4_quality_rules": op4_quality_rules,
+    "op6_licence_scan": op6_licence_scan,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_token_counts": op8_token_counts,
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_licence_scan": LICENCE_SQL}
