@@ -9,6 +9,7 @@ from .near_dedup import op10_near_dedup
 from .piece_sampling import op7_piece_sampling
 from .pii import op2_pii
 from .quality_rules import op4_quality_rules
+from .repeated_passages import op5_repeated_passages
 from .token_counts import op8_token_counts
 from .token_output import op3_token_output
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_token_output": op3_token_output,
     "op4_quality_rules": op4_quality_rules,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_licence_scan": op6_licence_scan,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_token_counts": op8_token_counts,
