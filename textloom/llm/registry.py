@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op1_decontamination
+from .katz_model import op9_katz_scores
 from .licence_scan import ORACLE_SQL as LICENCE_SQL
 from .licence_scan import op6_licence_scan
 from .near_dedup import op10_near_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_licence_scan": op6_licence_scan,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_token_counts": op8_token_counts,
+    "op9_katz_scores": op9_katz_scores,
     "op10_near_dedup": op10_near_dedup,
 }
 

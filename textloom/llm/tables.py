@@ -45,3 +45,11 @@ def with_text(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 LONG = T.LongType()
+
+
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of finished queries now, not at some later collection of the driver's garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
