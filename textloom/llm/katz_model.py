@@ -45,8 +45,8 @@ class KatzConfig:
     held_out: int = 2
     katz_limit: int = 5
     least_count: int = 2
-    tokens_per_bucket: int = 4_000_000
-    block_bytes: int = 24_000_000
+    tokens_per_bucket: int = 3_000_000
+    block_bytes: int = 6_000_000
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
