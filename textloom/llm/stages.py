@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality_rules as quality
+from .decontamination import contamination
+from .near_dedup import one_of_each_class
 from .pii import mask_pii
-from .tables import scratch, table
+from .piece_sampling import add_pieces
+from .tables import drop_finished_shuffles, scratch, table, written
+
+#: Up to so many ids of contaminated documents are sent to all executors; beyond, documents are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,15 +22,37 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, ratio, keep_columns=True).filter("kept").select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return one_of_each_class(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents with a window that matches a benchmark item (rows of one doc_id go together)."""
+    found = written(contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked"]), "left_anti")
+
+
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts (n_chars follows the new text)."""
-    from pyspark.sql import functions as F
-
     out = mask_pii(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
-STAGES = [("quality rules", keep_good), ("personal data", remove_personal_data)]
+def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds sampled SentencePiece ids, their number and whether they decode to the text."""
+    return add_pieces(docs)
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicate removal", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("personal data", remove_personal_data),
+    ("SentencePiece sampling", sample_pieces),
+]
 
 
 def apply_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,4 +63,5 @@ def apply_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = scratch(spark, "stage")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            drop_finished_shuffles(spark)
     return docs
