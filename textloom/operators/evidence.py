@@ -10,15 +10,19 @@ from ..functions.text import for_evidence, snippet_segments, unquoted
 
 def snippet_match(snippet: Column, original: Column, ratio: float = 1.0) -> Column:
     """struct(matched, detail): containment of the whole normalised snippet, else of its segments between ellipses."""
-    s, o = unquoted(for_evidence(snippet)), for_evidence(original)
-    parts = snippet_segments(s)
-    hits, n = F.size(F.filter(parts, lambda p: F.contains(o, p))), F.size(parts)
-    counted = F.concat(hits.cast("string"), F.lit("_of_"), n.cast("string"))
-    enough = F.try_divide(hits, n) >= ratio
-    matched = F.when(s == "", False).when(F.contains(o, s), True).when(n == 0, False).otherwise(enough)
+    s = unquoted(for_evidence(snippet))
+    return prepared_match(s, snippet_segments(s), for_evidence(original), ratio)
+
+
+def prepared_match(s: Column, parts: Column, o: Column, ratio: float = 1.0) -> Column:
+    """``snippet_match`` of a normalised snippet, its segments and a normalised original."""
+    n, hits = F.size(parts), F.size(F.filter(parts, lambda p: F.contains(o, p)))
+    state = F.when(s == "", -3).when(F.contains(o, s), -2).when(n == 0, -1).otherwise(hits)
+    counted = lambda k: F.concat(k.cast("string"), F.lit("_of_"), n.cast("string"))
+    matched = F.when(state == -2, True).when(state < 0, False).otherwise(F.try_divide(state, n) >= ratio)
     detail = (
-        F.when(s == "", "empty_snippet").when(F.contains(o, s), "exact_match").when(n == 0, "empty_or_too_short_after_split")
-        .when(enough, F.concat(F.lit("ellipsis_segment_match_"), counted)).otherwise(F.concat(F.lit("partial_segment_match_"), counted)))
+        F.when(state == -3, "empty_snippet").when(state == -2, "exact_match").when(state == -1, "empty_or_too_short_after_split")
+        .when(matched, F.concat(F.lit("ellipsis_segment_match_"), counted(state))).otherwise(F.concat(F.lit("partial_segment_match_"), counted(state))))
     return F.struct(matched.alias("matched"), detail.alias("detail"))
 
 
@@ -30,8 +34,10 @@ def align_evidence(evidence: DataFrame, visits: DataFrame, ratio: float = 1.0) -
     index is preferred, then the first by index whose text matches. The failure of the indexed candidate is what is reported if
     no candidate matches.
     """
-    sides = visits.select("person_id", "visit_datetime", F.col("visit_index").alias("c_index"), F.col("text").alias("c_text"))
-    pairs = evidence.join(sides, ["person_id", "visit_datetime"]).withColumn("m", snippet_match(F.col("evidence_snippet"), F.col("c_text"), ratio))
+    sides = visits.select("person_id", "visit_datetime", F.col("visit_index").alias("c_index"), for_evidence(F.col("text")).alias("c_text"))
+    asked = evidence.select("evidence_id", "person_id", "visit_datetime", "original_visit_index", unquoted(for_evidence(F.col("evidence_snippet"))).alias("s"))
+    asked = asked.withColumn("parts", snippet_segments(F.col("s")))
+    pairs = asked.join(sides, ["person_id", "visit_datetime"]).withColumn("m", prepared_match(F.col("s"), F.col("parts"), F.col("c_text"), ratio))
     own = F.col("c_index") == F.col("original_visit_index")
     best = pairs.groupBy("evidence_id").agg(
         F.count("*").alias("n"), F.min(F.when(own, F.struct("c_index", "m"))).alias("own"), F.min(F.when(F.col("m.matched"), F.struct("c_index", "m"))).alias("first"))

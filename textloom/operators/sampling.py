@@ -131,7 +131,7 @@ def balanced_shards(weights: DataFrame, shards: int) -> DataFrame:
         return rows.assign(shard=placed)[["id", "shard"]]
 
     kind = weights.schema["id"].dataType.simpleString()
-    return weights.select("id", "weight").groupBy(F.lit(0)).applyInPandas(assign, f"id {kind}, shard long")
+    return weights.select("id", "weight", F.lit(0).alias("g")).groupBy("g").applyInPandas(assign, f"id {kind}, shard long")
 
 
 def token_batches(lengths: list[int], max_tokens: int, max_rows: int) -> Iterator[list[int]]:

@@ -1,10 +1,8 @@
-"""Registered queries of the library's own operators and their SQL equivalents."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import answer_queries, retrieval_queries, statistics_queries, timeline_queries  # noqa: F401  (they register themselves)
+from .registration import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
