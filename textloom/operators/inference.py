@@ -108,8 +108,8 @@ def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     keys = keys or ("__all",)
     both = both if keys != ("__all",) else both.withColumn("__all", F.lit(0))
     rank = both.withColumn("rx", average_ranks(both, x, *keys)).withColumn("ry", average_ranks(both, y, *keys))
-    constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
-    out = rank.groupBy(*keys).agg(F.count("*").alias("n"), F.when(~constant, F.corr("rx", "ry")).alias("rho"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    out = rank.groupBy(*keys).agg(F.count("*").alias("n"), rho.alias("rho"))
     return out.drop("__all")
 
 

@@ -111,10 +111,10 @@ def gap_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("n", *[F.round(c, 8).alias(c) for c in ("gap", "share_s", "gap_s", "share_n", "gap_n")], F.round("fraction_not_survived", 7).alias("fraction_not_survived"))
 
 
-@query("common_survivors", "SELECT user_id AS key FROM events WHERE event_type IS NOT NULL GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events) AND bool_and(value < 110)")
+@query("common_survivors", "SELECT user_id AS key FROM events WHERE event_type IS NOT NULL GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events) AND bool_and(event_id % 97 <> 0)")
 def common_survivors(spark: SparkSession, sf: str) -> DataFrame:
     e = s.table(spark, sf, "events").filter("event_type is not null")
-    per = e.groupBy(F.col("user_id").alias("key"), "event_type").agg(F.bool_and(F.col("value") < 110).alias("flag"))
+    per = e.groupBy(F.col("user_id").alias("key"), "event_type").agg(F.bool_and(F.col("event_id") % 97 != 0).alias("flag"))
     return inference.common_survivors(per, "key", "flag", e.select("event_type").distinct().count())
 
 
