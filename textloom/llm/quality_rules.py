@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table, with_text
-from .textarrays import SPACE, TextSlice, mix, same_row_windows, slices
+from .textarrays import lean, mix, same_row_windows, slices, SPACE, TextSlice
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,7 @@ def count_grams(docs: DataFrame, trusted_ids: DataFrame, config: QualityConfig)
     # At most config.trusted_rows ids: a proven bound, so this side may be broadcast.
     ids = trusted_ids.select("doc_id", F.lit(True).alias("trusted"))
     marked = with_text(docs, "doc_id").join(F.broadcast(ids), "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-    parts = marked.mapInArrow(count, "bucket long, raw long, trusted long")
+    parts = marked.mapInArrow(lean(count), "bucket long, raw long, trusted long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, ratio: np.ndarray, config: QualityConfig = QualityCon
                 arrays.append(pa.array(values, type=_ARROW[kind]))
             yield pa.RecordBatch.from_arrays(arrays, [*carried, *FIGURES])
 
-    return source.mapInArrow(run, ", ".join(fields + [f"{n} {k}" for n, k in FIGURES.items()]))
+    return source.mapInArrow(lean(run), ", ".join(fields + [f"{n} {k}" for n, k in FIGURES.items()]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:

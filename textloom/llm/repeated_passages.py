@@ -31,16 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table, with_text, written
-from .textarrays import mix, same_row_windows, slices
+from .textarrays import lean, mix, same_row_windows, slices
 
 
 @dataclass(frozen=True)
 class PassageConfig:
-    """``broadcast_rows``: positions of up to so many texts are sent to all executors; beyond, texts are shuffled to them."""
+    """``broadcast_rows``: the digests of up to so many texts with repeated suffixes are sent to all executors, so that only
+    those texts are shuffled; beyond, all are."""
 
     passage: int = 50
     k: int = 8
-    broadcast_rows: int = 200_000
+    broadcast_rows: int = 500_000
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +96,7 @@ def suffixes(docs: DataFrame, config: PassageConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.concatenate(n_words)), *lists], ["doc_id", "node", "n_words", "hashes", "positions"])
 
     source = with_text(docs, "doc_id").select("doc_id", F.unhex(F.md5("text")).alias("node"), "text")
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node binary, n_words long, hashes array<long>, positions array<int>")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node binary, n_words long, hashes array<long>, positions array<int>")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, config: PassageConfig) -> DataFrame:
@@ -123,8 +124,12 @@ def contexts(docs: DataFrame, wanted: DataFrame, config: PassageConfig) -> DataF
                 yield pa.RecordBatch.from_arrays(arrays, ["node", "position", "gram", "left", "right"])
 
     keyed = with_text(docs, "doc_id").withColumn("node", F.unhex(F.md5("text")))
-    met = keyed.alias("d").join(wanted.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep")))
-    return met.select("d.node", "w.hashes", "w.positions", "d.text").mapInArrow(run, "node binary, position int, gram long, left binary, right binary")
+    same = (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep"))
+    ids = wanted.select("node", "rep")
+    if wanted.count() <= config.broadcast_rows:
+        keyed = keyed.alias("d").join(F.broadcast(ids).alias("w"), same, "left_semi")
+    met = keyed.alias("d").join(wanted.hint("merge").alias("w"), same)
+    return met.select("d.node", "w.hashes", "w.positions", "d.text").mapInArrow(lean(run), "node binary, position int, gram long, left binary, right binary")
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -184,9 +189,9 @@ def neighbour_matches(rows: DataFrame, by: str) -> DataFrame:
         yield columns(found, [], -1)
 
     schema = f"{_MATCH}, left binary, right binary, number int"
-    done = written(ordered.mapInArrow(run, schema), "matches")
+    done = written(ordered.mapInArrow(lean(run), schema), "matches")
     edge = done.filter("number >= 0").select(*_ROW, "number").coalesce(1).sortWithinPartitions("number", *keys)
-    return done.filter("number < 0").select("node", "position", "gram", "left_words", "right_words").union(edge.mapInArrow(borders, schema).select("node", "position", "gram", "left_words", "right_words"))
+    return done.filter("number < 0").select("node", "position", "gram", "left_words", "right_words").union(edge.mapInArrow(lean(borders), schema).select("node", "position", "gram", "left_words", "right_words"))
 
 
 def window_matches(rows: DataFrame, open_grams: DataFrame, config: PassageConfig) -> DataFrame:
@@ -206,7 +211,7 @@ def window_matches(rows: DataFrame, open_grams: DataFrame, config: PassageConfig
                         windows.append(around[4 * s : 4 * (s + length)])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(starts, pa.int32()), pa.array(windows, pa.binary())], ["node", "start", "window"])
 
-    every = rows.join(open_grams, "gram", "left_semi").select(*_ROW).mapInArrow(run, "node binary, start int, window binary")
+    every = rows.join(open_grams, "gram", "left_semi").select(*_ROW).mapInArrow(lean(run), "node binary, start int, window binary")
     every = written(every.select("node", "start", F.md5("window").alias("window")).distinct(), "windows")
     twice = every.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
     return every.join(twice, "window", "left_semi").select("node", "start")
@@ -239,8 +244,6 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     kept = single.join(often, "gram", "left_semi")
     wanted = kept.groupBy("node", "rep").agg(F.sort_array(F.collect_list(F.struct("position", "gram"))).alias("s")).select("node", "rep", F.col("s.gram").alias("hashes"), F.col("s.position").alias("positions"))
     wanted = written(wanted, "wanted")
-    if wanted.count() <= config.broadcast_rows:
-        wanted = F.broadcast(wanted)
     context = contexts(docs, wanted, config)
     right = neighbour_matches(context, "right")
     left = neighbour_matches(context, "left")

@@ -29,10 +29,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents with a window that matches a benchmark item (rows of one doc_id go together)."""
-    found = written(contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    found = written(contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
     if found.count() <= BROADCAST_IDS:
         found = F.broadcast(found)
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked"]), "left_anti")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,13 @@ Hashes are polynomial hashes modulo 2**64, finished with a bijective mixer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -117,3 +118,42 @@ def same_row_windows(row: np.ndarray, size: int) -> np.ndarray:
     if len(row) < size:
         return np.zeros(0, dtype=np.int64)
     return np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :])
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system; idle Python workers otherwise keep it beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, with memory released at the end of the partition."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    wrapped.__name__ = run.__name__
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """``run`` over tables of a group, with memory released after each."""
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release_memory()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            release_memory()
+
+    one.__name__ = two.__name__ = run.__name__
+    return one if run.__code__.co_argcount == 1 else two
