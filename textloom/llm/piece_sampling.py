@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from .textarrays import _power_table, bytes_of, mix
+from .textarrays import bytes_of, lean, mix, _power_table
 from .vocabularies import public_path
 
 SPACE_MARK = 0x2581
@@ -44,7 +44,7 @@ class PieceConfig:
     seed: int = 20_240_601
     sharpness: float = 1.0
     fallback_log_weight: float = -12.0
-    slice_bytes: int = 3_000_000
+    slice_bytes: int = 1_000_000
 
 
 class Pieces:
@@ -279,7 +279,7 @@ def add_pieces(docs: DataFrame, config: PieceConfig = PieceConfig(), carried: li
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], lists, pa.array(np.diff(offsets)), pa.array(same, pa.bool_())], [*names, *added])
 
-    return source.mapInArrow(run, ", ".join([*fields, "pieces array<int>", "n_pieces long", "lossless boolean"]))
+    return source.mapInArrow(lean(run), ", ".join([*fields, "pieces array<int>", "n_pieces long", "lossless boolean"]))
 
 
 def decode_pieces(encoded: DataFrame, config: PieceConfig = PieceConfig()) -> DataFrame:
@@ -293,7 +293,7 @@ def decode_pieces(encoded: DataFrame, config: PieceConfig = PieceConfig()) -> Da
             texts = [table_.decode(np.array(p or [], dtype=np.int64)) for p in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
