@@ -149,6 +149,14 @@ def test_repeated_passages(spark, length, k):
     assert {(r["doc_id"], r["start"], r["end"]) for r in repeated_passages.repeated_passages(df, small).collect()} == got
 
 
+def test_repeated_passages_sql(spark):
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    mine = Counter(map(tuple, repeated_passages.op5_repeated_passages(spark, SF).select("doc_id", "start", "end", "n_words").collect()))
+    assert mine == Counter(duckdb.sql(repeated_passages.ORACLE_SQL).fetchall())
+
+
 def _leaks(docs, items, least=0.8):
     norm = lambda t: re.sub(r"[^\w\s]+|_", "", (t or "").lower()).split()
     grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))

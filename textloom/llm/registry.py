@@ -10,6 +10,7 @@ from .near_dedup import op10_near_dedup
 from .piece_sampling import op7_piece_sampling
 from .pii import op2_pii
 from .quality_rules import op4_quality_rules
+from .repeated_passages import ORACLE_SQL as PASSAGE_SQL
 from .repeated_passages import op5_repeated_passages
 from .token_counts import op8_token_counts
 from .token_output import op3_token_output
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL = {"op6_licence_scan": LICENCE_SQL}
+ORACLE_SQL = {"op5_repeated_passages": PASSAGE_SQL, "op6_licence_scan": LICENCE_SQL}

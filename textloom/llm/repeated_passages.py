@@ -263,5 +263,15 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     return members.join(merged(spans), "node").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"))
 
 
+ORACLE_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, doc_id, unnest(range(len(w) - 49)) AS s, unnest(list_transform(range(len(w) - 49), lambda i: md5(array_to_string(w[i + 1 : i + 50], ' ')))) AS g FROM w WHERE len(w) >= 50),
+m AS (SELECT r, doc_id, s FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+b AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 50 THEN 0 ELSE 1 END AS begins FROM m),
+i AS (SELECT *, sum(begins) OVER (PARTITION BY r ORDER BY s) AS island FROM b)
+SELECT doc_id, min(s) AS "start", max(s) + 50 AS "end", max(s) + 50 - min(s) AS n_words FROM i GROUP BY r, doc_id, island
+"""
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
