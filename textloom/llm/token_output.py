@@ -18,17 +18,21 @@ text among equals); null ids come first. Other columns are ignored. An empty tab
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import scratch, table, with_text
+from .tables import scratch, table, with_text, written
+from .textarrays import lean
 from .vocabularies import public_path
 
 
@@ -36,15 +40,18 @@ from .vocabularies import public_path
 class TokenOutputConfig:
     vocabulary: str | None = None
     end_id: int = 2
-    cache_entries: int = 300_000
+    cache_entries: int = 900_000
     stripe_bytes: int = 16 << 20
     row_index_stride: int = 1_000
     bloom_fpp: float = 0.01
-    compress: str = "zstd"
+    compress: str = "lz4"
 
 
 class PieceEncoder:
-    """text -> little-endian int32 ids, as bytes."""
+    """Texts -> little-endian ids, as bytes of ``kind`` (16 bits where the vocabulary allows it).
+
+    ``known`` holds at most ``cache_entries`` pieces; when it is full, those met in two batches or more stay.
+    """
 
     def __init__(self, vocabulary: str, cache_entries: int):
         import os
@@ -54,22 +61,76 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        size = self.tokenizer.get_vocab_size()
+        self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<i4"), "i")
+        self.ends_word = np.zeros(size, dtype=bool)
+        self.ends_word[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.cache_entries = cache_entries
         self.known: dict[str, bytes] = {}
+        self.met_again: set[str] = set()
+        self.beside_signs = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_[.,]|[.,]_").search
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def pieces(self, text: str) -> tuple[list[str] | None, str | None]:
+        """(pieces, lower-case text they were cut from or None). Pieces encode to the text's ids one by one; None: encode it whole.
+
+        The vocabulary normalises to NFC, lower-cases character by character and cuts letters, digits and runs of other signs
+        apart. Where the text and its lower case are NFC already (and no capital sigma, whose lower case depends on its place,
+        occurs) the lower-case text has the same ids; a full stop or comma is a piece of its own if no other sign is beside it,
+        which ``encode`` sees to.
+        """
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None, None
+        if "\u03a3" not in text and is_normalized("NFC", text):
+            low = text.lower()
+            if "<|" not in low and is_normalized("NFC", low):
+                return low.replace(".", " . ").replace(",", " , ").split(), low
+        return text.split(), None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*(p for p in pieces if p)).difference(known))
-        if len(known) + len(new) > self.cache_entries:
-            known.clear()
-            new = list(set().union(*(p for p in pieces if p)))
-        for piece, found in zip(new, self.encode_batch(new, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, dtype="<i4").tobytes()
-        return [self.whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, pieces)]
+        cut = [self.pieces(t) for t in texts]
+        pieces = [p for p, _ in cut]
+        distinct = set().union(*(p for p in pieces if p))
+        signs = {w for w in distinct if not w.isalnum()} - {".", ","}
+        for k, (own, low) in enumerate(cut):
+            if low is not None and (any(pair in low for pair in ("..", ".,", ",.", ",,")) or not signs.isdisjoint(own)) and self.beside_signs(low):
+                pieces[k] = texts[k].split()
+                distinct.update(pieces[k])
+        new = distinct.difference(self.known)
+        if 2 * len(self.known) > self.cache_entries:
+            self.met_again |= distinct - new
+            if len(self.known) + len(new) > self.cache_entries:
+                keep = self.met_again if 2 * len(self.met_again) < self.cache_entries else ()
+                self.known = {w: self.known[w] for w in keep}
+                self.met_again = set()
+                new = distinct.difference(self.known)
+        self.learn(new)
+        own = {w: self.known[w] for w in distinct}.__getitem__  # small enough for the processor's cache
+        return [self.whole(t) if p is None else b"".join(map(own, p)) for t, p in zip(texts, pieces)]
+
+    def learn(self, new: set[str]) -> None:
+        """Encodes new pieces: words of letters many at a time (each ends with its only word-end token), the others singly."""
+        known, width = self.known, self.kind.itemsize
+        words = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * width
+            if len(ends) != len(some):  # a letter whose lower case has a mark that is cut off, or no word ends in this vocabulary
+                others += some
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist()):
+                known[word] = data[start:end]
+                start = end
+        for piece, found in zip(others, self.encode_batch(others, add_special_tokens=False)):
+            known[piece] = self.packed(found.ids)
 
 
 @lru_cache(maxsize=2)
@@ -79,23 +140,24 @@ def encoder(vocabulary: str, cache_entries: int) -> PieceEncoder:
 
 def write_token_ids(docs: DataFrame, path: str, config: TokenOutputConfig = TokenOutputConfig()) -> None:
     """Encodes ``docs`` and writes the token stream in ascending doc_id order to the ORC folder ``path``."""
-    vocabulary, entries, end = config.vocabulary or public_path("word_bpe_49k.json"), config.cache_entries, np.array([config.end_id], dtype="<i4").tobytes()
+    vocabulary, entries = config.vocabulary or public_path("word_bpe_49k.json"), config.cache_entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seq = encoder(vocabulary, entries).encode, 0
+        coder, seq = encoder(vocabulary, entries), 0
+        end, width = coder.packed([config.end_id]), coder.kind.itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # a bounded number of texts is held as ids at a time
-                part = batch.slice(at, 256)
-                ids = [x + end for x in encode(part.column("text").to_pylist())]
-                lengths = np.fromiter((len(x) // 4 for x in ids), dtype=np.int32, count=len(ids))
+            for at in range(0, batch.num_rows, 1024):  # a bounded number of texts is held as ids at a time
+                part = batch.slice(at, 1024)
+                ids = [x + end for x in coder.encode(part.column("text").to_pylist())]
+                lengths = np.fromiter((len(x) // width for x in ids), dtype=np.int32, count=len(ids))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=coder.kind).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(seq, seq + len(ids))), lists], ["doc_id", "seq", "ids"])
                 seq += len(ids)
 
     source = with_text(docs, "doc_id").withColumn("tie", F.xxhash64("text"))
     ordered = source.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    rows = ordered.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, seq long, ids array<int>")
+    rows = ordered.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, seq long, ids array<int>")
     options = {
         "compression": config.compress, "orc.stripe.size": config.stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": config.row_index_stride,
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": config.bloom_fpp,
@@ -121,7 +183,8 @@ def read_token_stream(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.schema("doc_id long, seq long, ids array<int>").orc(path)
     shard = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    found = files.select("doc_id", shard.alias("shard"), "seq", "ids").mapInArrow(run, "doc_id long, shard int, seq long, n_tokens long, ids_crc32 long")
+    found = files.select("doc_id", shard.alias("shard"), "seq", "ids").mapInArrow(lean(run), "doc_id long, shard int, seq long, n_tokens long, ids_crc32 long")
+    found = written(found, "token-index")  # read twice below; the ids are decoded once
     inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     local = found.withColumn("local_start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     # One row per file: the window without partitions and the broadcast are bounded by the number of files.
