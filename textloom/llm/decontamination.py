@@ -7,11 +7,10 @@ pigeonhole principle such a pair agrees on a whole block, and an equi-join on (s
 Candidates are verified by the exact weighted Jaccard similarity of their shingle multisets (``similarity`` or more).
 
 Fingerprinting each of some 45 item sizes at each corpus position would cost thousands of operations per word, so windows are
-laid only where a verified match is possible. In each run of ten words of an item its longest word (four words away from both
-ends where there is room) is an *anchor*; the shingles that contain an anchor are over a fifth of the item's weight, so a window
-of similarity 0.8 or more shares a shingle with an anchor at a known offset. The window is aligned on it, and shifted by as many
-places as insertions allow at that similarity. Documents without an anchor word are dropped by a set test inside the scan's
-stage; hits are linear in the text. This argument needs ``similarity`` >= 0.8, which the configuration enforces.
+laid only where a verified match is possible. An item's longest words (four words away from both ends where there is room) are
+its *anchors*; the shingles that contain an anchor are over a fifth of the item's weight, so a window of similarity 0.8 or more shares a shingle with an anchor at a known offset. Windows are laid where such a shingle occurs, aligned
+on it and shifted by as many places as insertions allow at that similarity. Documents without an anchor word are dropped by a set
+test inside the scan's stage; hits are linear in the text. This argument needs ``similarity`` >= 0.8, which the configuration enforces.
 
 Expected fingerprint distance at similarity 0.8 is 9.7 bits with a deviation of 2.9; the default radius of 23 is over 4.5
 deviations away. Bit counts are kept in 16-bit lanes of 16 longs, which holds for items of up to 16,383 words.
@@ -97,33 +96,52 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return words.distinct().withColumn("size", F.size("words"))
 
 
-def item_anchors(items: DataFrame) -> DataFrame:
-    """(word, size, offset): the longest word of each run of ten, away from the ends where there is room. The last run takes
-    the rest, so an item of n words has max(1, n // 10) anchors."""
+def around(words: Column, offset: Column, k: int) -> Column:
+    """The k - 1 words on both sides of a word and itself; places beyond the text are empty strings."""
+    pad = F.array_repeat(F.lit(""), k - 1)
+    return F.slice(F.concat(pad, words, pad), offset + 1, 2 * k - 1)
+
+
+def item_anchors(items: DataFrame, k: int) -> DataFrame:
+    """(word, size, offset, near): an item's longest words, away from the ends where there is room, at each of their offsets.
+
+    Of an item with m shingles max(1, m // 5 - 3) word positions are taken. Each lies in k = 5 shingles, so together they lie in at
+    least m // 5 + 1, over a fifth of the item's weight.
+    """
     at = items.select("item_id", "size", F.posexplode("words").alias("offset", "word"), F.col("words"))
-    inner = F.when(F.col("size") >= 9, (F.col("offset") >= 4) & (F.col("offset") <= F.col("size") - 5)).otherwise(True)
-    run = F.least(F.floor(F.col("offset") / 10), F.greatest(F.floor(F.col("size") / 10), F.lit(1)) - 1)
-    longest = Window.partitionBy("item_id", "words", "run").orderBy(F.length("word").desc(), "word", "offset")
-    picked = at.filter(inner).withColumn("run", run).withColumn("rank", F.row_number().over(longest)).filter("rank = 1").select("item_id", "words", "size", "word")
-    everywhere = at.select("item_id", "words", "word", "offset")  # an anchor word may occur at several offsets of its item
-    return picked.join(everywhere, ["item_id", "words", "word"]).select("word", "size", "offset").distinct()
+    inner = F.when(F.col("size") >= 2 * k - 1, (F.col("offset") >= k - 1) & (F.col("offset") <= F.col("size") - k)).otherwise(True)
+    longest = Window.partitionBy("item_id", "words").orderBy(F.length("word").desc(), "word", "offset")
+    wanted = F.greatest(F.floor((F.col("size") - (k - 1)) / 5) - 3, F.lit(1))
+    picked = at.filter(inner).withColumn("rank", F.row_number().over(longest)).filter(F.col("rank") <= wanted).select("item_id", "words", "size", "word").distinct()
+    everywhere = at.select("item_id", "words", "word", "offset", around(F.col("words"), F.col("offset"), k).alias("near"))
+    return picked.join(everywhere, ["item_id", "words", "word"]).select("word", "size", "offset", "near").distinct()
+
+
+def shares_shingle(a: Column, b: Column, size: Column, k: int) -> Column:
+    """Whether two neighbourhoods agree on a whole shingle around their middle (short items: on all of the item)."""
+    same = [F.slice(a, j + 1, k) == F.slice(b, j + 1, k) for j in range(k)]
+    any_ = same[0]
+    for x in same[1:]:
+        any_ = any_ | x
+    return any_ | (size < k)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """doc_id, item_id, start (word number of the best window, from 0), n_words, distance (bits), similarity."""
     items = written(item_words(benchmark), "items")
-    anchors = written(item_anchors(items), "anchors")
+    anchors = written(item_anchors(items, config.k), "anchors")
     words = with_text(docs, "doc_id").select("doc_id", normal_words(F.col("text")).alias("words"))
-    distinct = anchors.select("word").distinct()
-    few = distinct.limit(config.literal_anchors + 1).collect()
+    few = anchors.select("word").distinct().limit(config.literal_anchors + 1).collect()
     if len(few) <= config.literal_anchors:
         literal = F.array(*[F.lit(r["word"]) for r in few]) if few else F.array().cast("array<string>")
-        near = words.filter(F.arrays_overlap("words", literal))
-        small = True
+        # explode_outer and the inner join, not a filter: a filter would be pushed below and cut the words a second time.
+        hits = words.select("doc_id", "words", F.explode_outer(F.array_intersect("words", literal)).alias("word"))
+        found = hits.join(F.broadcast(anchors), "word")
     else:
-        near, small = words, False
-    hits = near.select("doc_id", "words", F.posexplode("words").alias("position", "word"))
-    found = hits.join(F.broadcast(anchors) if small else anchors, "word")
+        found = words.select("doc_id", "words", F.explode_outer(F.array_distinct("words")).alias("word")).join(anchors, "word")
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) == F.col("word"))
+    found = found.select("doc_id", "words", "size", "offset", "near", F.explode_outer(places).alias("position"))
+    found = found.filter(shares_shingle(around(F.col("words"), F.col("position"), config.k), F.col("near"), F.col("size"), config.k))
     slack = F.greatest(F.floor((F.col("size") - (config.k - 1)) / 9) - 4, F.lit(0)).cast("int")
     shift = F.explode(F.sequence(-slack, slack))
     laid = found.select("doc_id", "words", "size", (F.col("position") - F.col("offset")).alias("base"), shift.alias("shift")).withColumn("start", F.col("base") + F.col("shift"))
