@@ -16,7 +16,8 @@ are Parquet tables written in ``buckets`` of contexts. Neither tokens nor counts
 pages, one row per block of texts and bucket, that hold each distinct bigram of the block once. A frequent context is split by its
 next word over several buckets (at most ``4 * buckets`` contexts are that frequent, which bounds their list). A bucket's pages are
 scored against that bucket's part of the tables: per token the bigram is looked up, else backoff to the unigram, else to the
-unknown type. Partial sums per text are added by key. Words are 64-bit hashes; inside a context the scoring pages tell next words
+unknown type. Partial sums per text travel packed,
+in as many parts as there are buckets, and are added there by key. Words are 64-bit hashes; inside a context the scoring pages tell next words
 apart by 48 bits of them.
 
 Defined results: null and empty texts are one end token. A null doc_id counts as empty text for the fold. Repeated rows are each
@@ -35,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import drop_finished_shuffles, table, with_text, written
-from .textarrays import LOWER_ASCII, TextSlice, mix, slices
+from .tables import discard, drop_finished_shuffles, table, with_text, written
+from .textarrays import LOWER_ASCII, TextSlice, lean, lean_group, mix, return_freed_arrays, slices
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,8 @@ class KatzConfig:
     held_out: int = 2
     katz_limit: int = 5
     least_count: int = 2
-    tokens_per_bucket: int = 3_000_000
-    block_bytes: int = 6_000_000
+    tokens_per_bucket: int = 4_000_000
+    block_tokens: int = 450_000
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +76,24 @@ def token_pairs(part: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, np.repeat(np.arange(part.n), n_words + 1)
 
 
+def blocks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(context, token, row, first row) of successive rows of a batch with some ``limit`` tokens (one slice of text more at most)."""
+    return_freed_arrays()
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    first = size = 0
+    for part in slices(batch.column("text"), table=LOWER_ASCII):
+        context, token, row = token_pairs(part)
+        held.append((context, token, row + (part.first - first)))
+        size += len(token)
+        if size >= limit:
+            block = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            yield *block, first
+            first, size = part.first + part.n, 0
+    if held:
+        yield *(np.concatenate(x) for x in zip(*held)), first
+
+
 def discounts(n: dict[int, int], limit: int) -> list[float]:
     """d(1) .. d(limit) from counts of counts."""
     one, two = n.get(1, 0), n.get(2, 0)
@@ -126,17 +145,29 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values))).astype(np.uint32)
 
 
+def flat(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The numbers of all values of a binary column, without copies where the column is one chunk."""
+    parts = []
+    for chunk in rows.column(name).chunks:
+        if len(chunk):
+            chunk = chunk.cast(pa.large_binary())
+            offsets = np.frombuffer(chunk.buffers()[1], dtype=np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]])
+    data = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint8)
+    return (data if data.ctypes.data % 8 == 0 else data.copy()).view(kind)
+
+
 def unigram_counts(docs: DataFrame, config: KatzConfig) -> DataFrame:
     """(word, count) over the training fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column("text"), config.block_bytes, LOWER_ASCII):
-                word, count = np.unique(token_pairs(part)[1], return_counts=True)
+            for _, token, _, _ in blocks(batch, config.block_tokens):
+                word, count = np.unique(token, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "count"])
 
     train = with_text(docs.filter(~fold_column(config)))
-    return train.mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return train.mapInArrow(lean(run), "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig) -> DataFrame:
@@ -144,8 +175,7 @@ def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column("text"), config.block_bytes, LOWER_ASCII):
-                context, token, _ = token_pairs(part)
+            for context, token, _, _ in blocks(batch, config.block_tokens):
                 which, bucket, c, t = _distinct_pairs(context, token, hot, buckets)
                 count = np.bincount(which, minlength=len(c)).astype(np.uint32)
                 full, size = _runs(bucket)
@@ -157,25 +187,34 @@ def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig)
                 yield pa.RecordBatch.from_arrays([pa.array(full), *[pa.array(x, pa.binary()) for x in zip(*rows)]] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 4], ["bucket", "contexts", "runs", "tokens", "counts"])
 
     def merge(pages_: pa.Table) -> pa.Table:
-        joined = {n: np.frombuffer(b"".join(pages_.column(n).to_pylist()), dtype=k) for n, k in (("contexts", np.uint64), ("runs", np.uint32), ("tokens", np.uint64), ("counts", np.uint32))}
-        context, token = np.repeat(joined["contexts"], joined["runs"]), joined["tokens"]
-        key = _pair_hash(context, token)
-        order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        count = np.add.reduceat(joined["counts"][order].astype(np.int64), first)
-        kept = np.flatnonzero(count >= config.least_count)
-        at = order[first[kept]]
-        n = np.bincount(np.minimum(count, config.katz_limit + 2), minlength=config.katz_limit + 3)[1 : config.katz_limit + 2]
+        return_freed_arrays()
+        context = np.repeat(flat(pages_, "contexts", np.uint64), flat(pages_, "runs", np.uint32))
+        token, counts = flat(pages_, "tokens", np.uint64), flat(pages_, "counts", np.uint32)
+        key = np.empty(len(token), dtype=np.uint64)
+        for at in range(0, len(key), 250_000):
+            key[at : at + 250_000] = _pair_hash(context[at : at + 250_000], token[at : at + 250_000])
+        n, kept = np.zeros(config.katz_limit + 3, dtype=np.int64), []
+        for part in range(8):  # equal pairs have equal hashes, so an eighth of the hash range is sorted at a time
+            own = np.flatnonzero((key >> np.uint64(61)) == part)
+            own = own[np.argsort(key[own])]
+            first = np.flatnonzero(np.concatenate([[True], key[own[1:]] != key[own[:-1]]])) if len(own) else own
+            count = np.add.reduceat(counts[own].astype(np.int64), first) if len(own) else own
+            n += np.bincount(np.minimum(count, config.katz_limit + 2), minlength=len(n))
+            stored = count >= config.least_count
+            at = own[first[stored]]
+            kept.append((context[at], token[at], count[stored]))
+        c, t, r = (np.concatenate(x) for x in zip(*kept))
+        n = n[1 : config.katz_limit + 2]
         columns = [
-            pa.concat_arrays([pa.array(context[at].view(np.int64)), pa.nulls(len(n), pa.int64())]),
-            pa.array(np.concatenate([token[at].view(np.int64), np.arange(1, len(n) + 1)])),
-            pa.array(np.concatenate([count[kept], n])),
+            pa.concat_arrays([pa.array(c.view(np.int64)), pa.nulls(len(n), pa.int64())]),
+            pa.array(np.concatenate([t.view(np.int64), np.arange(1, len(n) + 1)])),
+            pa.array(np.concatenate([r, n])),
         ]
         return pa.Table.from_arrays(columns, ["context", "token", "count"])
 
     train = with_text(docs.filter(~fold_column(config)))
-    paged = train.mapInArrow(pages, "bucket int, contexts binary, runs binary, tokens binary, counts binary")
-    return paged.groupBy("bucket").applyInArrow(merge, "context long, token long, count long")
+    paged = train.mapInArrow(lean(pages), "bucket int, contexts binary, runs binary, tokens binary, counts binary")
+    return paged.groupBy("bucket").applyInArrow(lean_group(merge), "context long, token long, count long")
 
 
 @dataclass(frozen=True)
@@ -232,6 +271,7 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     stored = pairs.filter("context is not null").withColumnRenamed("token", "word")
     bigrams = stored.join(unigrams.select("word", "log_p"), "word").select("context", F.col("word").alias("token"), discounted(F.col("count"), d2).alias("mass"), "log_p")
     bigrams = written(bigrams.select("context", "token", "mass", F.log10("mass").alias("log_stored"), "log_p"), "bigrams")
+    discard(pairs)
     drop_finished_shuffles(spark)
     sums = bigrams.groupBy("context").agg(F.sum("mass").alias("mass"), F.sum(F.pow(F.lit(10.0), F.col("log_p"))).alias("lower"))
     begin = spark.createDataFrame([(signed(BEGIN), end_count, None)], "context long, count long, log_p double")
@@ -269,8 +309,7 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
         names = ["bucket", "contexts", "runs", "low", "high", "uses", "rows", "keys"]
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            for part in slices(batch.column("text"), config.block_bytes, LOWER_ASCII):
-                context, token, row = token_pairs(part)
+            for context, token, row, at_row in blocks(batch, config.block_tokens):
                 which, bucket, c, t = _distinct_pairs(context, token, hot, buckets)
                 uses = np.bincount(which, minlength=len(c)).astype(np.uint32)
                 row = row[np.argsort(which, kind="stable")].astype(np.int32)
@@ -282,10 +321,11 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
                     own, length = _runs(c[a:b])
                     met, local = np.unique(row[token_cut[a] : token_cut[b]], return_inverse=True)
                     local = local.astype(np.uint16) if len(met) < 65536 else local.astype(np.uint32)
-                    out.append((own.tobytes(), length.tobytes(), (t[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((t[a:b] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), uses[a:b].tobytes(), local.tobytes(), keys[part.first + met].tobytes()))
+                    out.append((own.tobytes(), length.tobytes(), (t[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((t[a:b] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), uses[a:b].tobytes(), local.tobytes(), keys[at_row + met].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(full), *[pa.array(x, pa.binary()) for x in zip(*out)]], names)
 
     def add_up(pages_: pa.Table, rows: pa.Table) -> pa.Table:
+        return_freed_arrays()
         is_context = np.asarray(rows.column("token").is_null())
         word = rows.column("context").to_numpy().view(np.uint64)
         number = lambda name: rows.column(name).to_numpy(zero_copy_only=False)
@@ -298,7 +338,7 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
         ranked = np.argsort(key)
         key, gain = key[ranked], (number("x")[rest].astype(np.float64) - number("log_p")[rest].astype(np.float64))[ranked]
         found: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for page in pages_.to_pylist():
+        for page in (row for chunk in pages_.to_batches(max_chunksize=16) for row in chunk.to_pylist()):
             own = np.frombuffer(page["contexts"], dtype=np.uint64)
             runs, uses = np.frombuffer(page["runs"], dtype=np.uint32), np.frombuffer(page["uses"], dtype=np.uint32)
             token = np.frombuffer(page["low"], dtype=np.uint32).astype(np.uint64) | np.frombuffer(page["high"], dtype=np.uint16).astype(np.uint64) << np.uint64(32)
@@ -325,15 +365,33 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
             for out, x in zip(found[1:], (None, knows[context_of], base[context_of], value)):
                 out.append(np.bincount(local, weights=None if x is None else np.repeat(x, uses), minlength=len(docs_)))
             found[0].append(docs_)
-        arrays = [np.concatenate(x) if x else np.zeros(0) for x in found]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(a.astype(np.int64) if k == pa.int64() else a, k) for a, k in zip(arrays, kinds)], ["key", "n", "known", "base", "log"])
+        return packed([np.concatenate(x) if x else np.zeros(0) for x in found])
+
+    def packed(sums: list[np.ndarray]) -> pa.Table:
+        """One row for each part of the texts that occurs, its sums as arrays."""
+        keys, values = sums[0].astype(np.int64), [x.astype(t) for x, t in zip(sums[1:], (np.uint32, np.uint32, np.float64, np.float64))]
+        part = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        met, size = _runs(part[order])
+        cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        rows = [[keys[order[a:b]].tobytes(), *(v[order[a:b]].tobytes() for v in values)] for a, b in zip(cut[:-1], cut[1:])]
+        columns = [pa.array([r[c] for r in rows], pa.binary()) for c in range(5)]
+        return pa.Table.from_arrays([pa.array(met, pa.int32()), *columns], ["part", "keys", "n", "known", "base", "log"])
+
+    def text_sums(rows: pa.Table) -> pa.Table:
+        keys = flat(rows, "keys", np.int64)
+        distinct, which = np.unique(keys, return_inverse=True)
+        out = [pa.array(distinct)]
+        for name, kind in (("n", np.uint32), ("known", np.uint32), ("base", np.float64), ("log", np.float64)):
+            total = np.bincount(which, flat(rows, name, kind), len(distinct))
+            out.append(pa.array(total if kind is np.float64 else np.rint(total).astype(np.int64)))
+        return pa.Table.from_arrays(out, ["key", "n", "known", "base", "log"])
 
     # The key stands for all rows of equal id and text; their sums add up and are divided by their number below.
     keyed = with_text(docs, "doc_id").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    paged = keyed.select("key", "text").mapInArrow(pages, "bucket int, contexts binary, runs binary, low binary, high binary, uses binary, rows binary, keys binary")
-    parts = paged.groupBy("bucket").cogroup(_bucketed(model).groupBy("bucket")).applyInArrow(add_up, "key long, n long, known long, base double, log double")
-    sums = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("log").alias("log"))
+    paged = keyed.select("key", "text").mapInArrow(lean(pages), "bucket int, contexts binary, runs binary, low binary, high binary, uses binary, rows binary, keys binary")
+    parts = paged.groupBy("bucket").cogroup(_bucketed(model).groupBy("bucket")).applyInArrow(lean_group(add_up), "part int, keys binary, n binary, known binary, base binary, log binary")
+    sums = parts.groupBy("part").applyInArrow(lean_group(text_sums), "key long, n long, known long, base double, log double")
     rows = keyed.select("doc_id", "key", fold_column(config).alias("held_out"))
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     done = sums.join(copies, "key")

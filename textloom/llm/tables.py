@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,7 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Puts this package's folder on the Python workers' path, for drivers that import it from a path of their own."""
+    environment = spark.sparkContext.environment
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep) + environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, environment.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,11 +49,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_text(docs: DataFrame, *columns: str) -> DataFrame:
     """The wanted columns of ``docs`` alone (extra columns never clash), with a text that is never null."""
+    let_workers_import(docs.sparkSession)
     return docs.select(*[F.col(c) for c in columns], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

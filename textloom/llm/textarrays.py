@@ -129,6 +129,16 @@ def release_memory() -> None:
         pass
 
 
+def return_freed_arrays(threshold: int = 1 << 18) -> None:
+    """From now on this process maps arrays above ``threshold`` bytes (Arrow's too) one by one, so that freeing them shrinks the
+    process at once; else they stay in the heap of the C library or of Arrow's own allocator."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, threshold)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
 def lean(run: Callable) -> Callable:
     """``run`` over batches, with memory released at the end of the partition."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
