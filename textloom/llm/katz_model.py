@@ -260,6 +260,7 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     rows = [(np.int64(r["word"]).astype(np.uint64), math.ceil(r["count"] / least)) for r in frequent]
     if end_count > least:
         rows.append((BEGIN, math.ceil(end_count / least)))
+    rows.append((END, 1))  # never a context; with it the list is not empty, and plans are the same at every size
     rows.sort()
     hot = {"word": np.array([r[0] for r in rows], dtype=np.uint64), "parts": np.array([min(r[1], buckets) for r in rows], dtype=np.int64)}
 
