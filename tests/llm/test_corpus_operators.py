@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,34 @@ def test_near_duplicates_with_one_large_group(spark):
     assert all(got[k] == (0 if k < 400 else k) for k, _ in docs)
 
 
+def _template_families(seed, families, own, template, rate):
+    """(doc_id, text): pairs of texts around one common passage, each word of the second one changed with probability ``rate``."""
+    rnd = random.Random(seed)
+    passage = ["t" + str(rnd.randint(0, 10**6)) for _ in range(template)]
+    docs = []
+    for g in range(families):
+        base = ["w" + str(rnd.randint(0, 10**6)) for _ in range(own)] + passage
+        docs += [base, [f"n{rnd.randint(0, 10**6)}" if rnd.random() < rate else w for w in base]]
+    return [(k, " ".join(w)) for k, w in enumerate(docs)]
+
+
+def _recall(spark, docs):
+    """Share of the pairs that brute force accepts which are in one class, and their number; no class may hold other pairs."""
+    words = near_dedup.word_hashes(pa.array([t for _, t in docs]))
+    pairs = [(a, b) for a in range(len(docs)) for b in range(a) if near_dedup.aligned_similarity(words[a], words[b], 0.8) is not None]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    low = {k: k for k, _ in docs}
+    for a, b in sorted(pairs):
+        low[a] = min(low[a], low[b])
+    assert sum(got[k] != k for k in got) <= sum(low[k] != k for k in low)
+    return sum(got[a] == got[b] for a, b in pairs) / len(pairs), len(pairs)
+
+
+def test_near_duplicates_around_one_template(spark):
+    recall, pairs = _recall(spark, _template_families(11, 150, 40, 80, 0.12))
+    assert pairs > 120 and recall >= 0.95
+
+
 def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x y z q r s"), (2, "x y z q r s")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"][0]) for r in near_dedup.one_of_each_class(df).collect()) == [(1, "a"), (2, "x")]
