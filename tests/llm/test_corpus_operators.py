@@ -126,6 +126,21 @@ def _recall(spark, docs):
     return sum(got[a] == got[b] for a, b in pairs) / len(pairs), len(pairs)
 
 
+@pytest.mark.parametrize("similarity,least", [(0.8, 0.98), (0.85, 0.99), (0.9, 0.99)])
+def test_pairs_at_the_accepted_similarity_meet(similarity, least):
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(300):
+        base = ["w" + str(rnd.randint(0, 10**6)) for _ in range(200)]
+        other = base[:]
+        for at in rnd.sample(range(200), round((1 - similarity) * 200)):
+            other[at] = "n" + str(rnd.randint(0, 10**6))
+        texts += [" ".join(base), " ".join(other)]
+    config = near_dedup.NearDedupConfig()
+    found = np.concatenate([near_dedup.sketch(part, config) for part in near_dedup.slices(pa.array(texts), table=near_dedup.LOWER_ASCII)])
+    assert (found[::2] == found[1::2]).any(axis=1).mean() >= least
+
+
 def test_near_duplicates_around_one_template(spark):
     recall, pairs = _recall(spark, _template_families(11, 150, 40, 80, 0.12))
     assert pairs > 120 and recall >= 0.95
