@@ -248,6 +248,21 @@ def test_decontamination(spark, literal):
         decontamination.DecontaminationConfig(similarity=0.5)
 
 
+def test_decontamination_at_the_edges_of_a_document(spark):
+    rnd = random.Random(12)
+    items = [(k, some_text(rnd, n)) for k, n in enumerate((15, 40, 40, 58, 70))]
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for cut in range(1, len(w) // 9 + 2):
+            docs += [" ".join(w[cut:]) + " " + some_text(rnd, 30), some_text(rnd, 30) + " " + " ".join(w[:-cut])]
+    docs = list(enumerate(docs))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id long, text string").coalesce(2)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contamination(df, it).collect()}
+    want = _leaks(docs, items)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items()) and len(want) > 20
+
+
 def test_decontamination_has_no_python(spark):
     found = decontamination.op1_decontamination(spark, SF)
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())

@@ -9,7 +9,9 @@ Candidates are verified by the exact weighted Jaccard similarity of their shingl
 Fingerprinting each of some 45 item sizes at each corpus position would cost thousands of operations per word, so windows are
 laid only where a verified match is possible. An item's longest words (four words away from both ends where there is room) are
 its *anchors*; the shingles that contain an anchor are over a fifth of the item's weight, so a window of similarity 0.8 or more shares a shingle with an anchor at a known offset. Windows are laid where such a shingle occurs, aligned
-on it and shifted by as many places as insertions allow at that similarity. Documents without an anchor word are dropped by a set
+on it and shifted by as many places as insertions allow at that similarity. A document that begins or ends inside an item has no
+place for the aligned window; there its first or last window is laid if it is no further away than that similarity allows (a ninth
+of the item's shingles). Documents without an anchor word are dropped by a set
 test inside the scan's stage; hits are linear in the text. This argument needs ``similarity`` >= 0.8, which the configuration enforces.
 
 Expected fingerprint distance at similarity 0.8 is 9.7 bits with a deviation of 2.9; the default radius of 23 is over 4.5
@@ -143,8 +145,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamination
     found = found.select("doc_id", "words", "size", "offset", "near", F.explode_outer(places).alias("position"))
     found = found.filter(shares_shingle(around(F.col("words"), F.col("position"), config.k), F.col("near"), F.col("size"), config.k))
     slack = F.greatest(F.floor((F.col("size") - (config.k - 1)) / 9) - 4, F.lit(0)).cast("int")
-    shift = F.explode(F.sequence(-slack, slack))
-    laid = found.select("doc_id", "words", "size", (F.col("position") - F.col("offset")).alias("base"), shift.alias("shift")).withColumn("start", F.col("base") + F.col("shift"))
+    reach = F.greatest(F.floor((F.col("size") - (config.k - 1)) / 9), F.lit(0))
+    edges = F.filter(F.array(F.lit(0), F.size("words") - F.col("size")), lambda s: F.abs(s - F.col("base")) <= reach)
+    laid = found.select("doc_id", "words", "size", (F.col("position") - F.col("offset")).alias("base"))
+    laid = laid.select("doc_id", "words", "size", F.explode(F.array_union(F.sequence(F.col("base") - slack, F.col("base") + slack), edges)).alias("start"))
     whole = laid.filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("words")))
     windows = whole.select("doc_id", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("words"))
     # A document id may stand for several texts, so the window's words are part of its identity.
