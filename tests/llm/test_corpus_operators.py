@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -34,8 +35,10 @@ def some_text(rnd, n):
     return " ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 60)) for _ in range(n))
 
 
-def test_banded_distance():
-    rnd = random.Random(5)
+@pytest.mark.parametrize("strip", [1, 2, 5, 2048])
+def test_banded_distance(monkeypatch, strip):
+    monkeypatch.setattr(near_dedup, "STRIP", strip)
+    rnd = random.Random(strip)
     for _ in range(800):
         a = [rnd.randint(0, 3) for _ in range(rnd.randint(0, 12))]
         b = a[:] if rnd.random() < 0.6 else [rnd.randint(0, 3) for _ in range(rnd.randint(0, 12))]
@@ -103,25 +106,38 @@ def test_near_duplicates_with_one_large_group(spark):
     assert all(got[k] == (0 if k < 400 else k) for k, _ in docs)
 
 
-def _template_families(seed, families, own, template, rate):
-    """(doc_id, text): pairs of texts around one common passage, each word of the second one changed with probability ``rate``."""
+def _families(seed, families, own, shared, rate):
+    """(doc_id, text): pairs of texts with one common passage, each other word of the second one changed with probability ``rate``."""
     rnd = random.Random(seed)
-    passage = ["t" + str(rnd.randint(0, 10**6)) for _ in range(template)]
+    passage = ["t" + str(rnd.randint(0, 10**6)) for _ in range(shared)]
     docs = []
-    for g in range(families):
-        base = ["w" + str(rnd.randint(0, 10**6)) for _ in range(own)] + passage
-        docs += [base, [f"n{rnd.randint(0, 10**6)}" if rnd.random() < rate else w for w in base]]
+    for _ in range(families):
+        base = ["w" + str(rnd.randint(0, 10**6)) for _ in range(own)]
+        other = [f"n{rnd.randint(0, 10**6)}" if rnd.random() < rate else w for w in base]
+        docs += [passage + base, passage + other]
     return [(k, " ".join(w)) for k, w in enumerate(docs)]
 
 
+def _accepted_pairs(words, least=0.8):
+    """All pairs that the alignment accepts; the number of common words bounds it from above and spares most alignments."""
+    ids = {}
+    coded = [np.array([ids.setdefault(int(x), len(ids)) for x in w]) for w in words]
+    has = np.zeros((len(words), len(ids)), dtype=np.float32)
+    for k, w in enumerate(coded):
+        has[k, w] = 1
+    size, distinct = np.array([len(w) for w in words]), has.sum(1)
+    bound = has @ has.T + np.minimum.outer(size - distinct, size - distinct)
+    near = np.triu(bound >= least * np.maximum.outer(size, size) - 1e-6, 1)
+    return [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if near_dedup.aligned_similarity(words[a], words[b], least) is not None]
+
+
 def _recall(spark, docs):
     """Share of the pairs that brute force accepts which are in one class, and their number; no class may hold other pairs."""
-    words = near_dedup.word_hashes(pa.array([t for _, t in docs]))
-    pairs = [(a, b) for a in range(len(docs)) for b in range(a) if near_dedup.aligned_similarity(words[a], words[b], 0.8) is not None]
+    pairs = _accepted_pairs(near_dedup.word_hashes(pa.array([t for _, t in docs])))
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     low = {k: k for k, _ in docs}
-    for a, b in sorted(pairs):
-        low[a] = min(low[a], low[b])
+    for a, b in pairs:
+        low[b] = min(low[a], low[b])
     assert sum(got[k] != k for k in got) <= sum(low[k] != k for k in low)
     return sum(got[a] == got[b] for a, b in pairs) / len(pairs), len(pairs)
 
@@ -141,9 +157,32 @@ def test_pairs_at_the_accepted_similarity_meet(similarity, least):
     assert (found[::2] == found[1::2]).any(axis=1).mean() >= least
 
 
-def test_near_duplicates_around_one_template(spark):
-    recall, pairs = _recall(spark, _template_families(11, 150, 40, 80, 0.12))
-    assert pairs > 120 and recall >= 0.95
+@pytest.mark.parametrize("families,own,shared,rate,least", [(1000, 60, 60, 0.2, 1.0), (300, 60, 60, 0.35, 1.0), (300, 40, 80, 0.5, 0.99)])
+def test_all_links_among_texts_with_one_opening(spark, families, own, shared, rate, least):
+    recall, pairs = _recall(spark, _families(11, families, own, shared, rate))
+    assert pairs > 0.8 * families and recall >= least
+
+
+def test_alignment_of_long_texts():
+    rnd = np.random.default_rng(1)
+    a = rnd.integers(0, 10**6, 20_000)
+    near, halves = a.copy(), np.concatenate([a[10_000:], a[:10_000]])
+    near[::7] = -1
+    began = time.perf_counter()
+    assert near_dedup.aligned_similarity(a, near, 0.8) == pytest.approx(1 - 2858 / 20_000) and near_dedup.aligned_similarity(a, halves, 0.8) is None
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_long_odd_and_repeated_texts(spark, broadcast):
+    rnd = random.Random(14)
+    long = [some_text(rnd, 20_000) for _ in range(2)]
+    docs = [(1, long[0]), (2, _edited(rnd, long[0], 900)), (3, long[1]), (4, None), (5, ""), (6, " \n"), (None, long[1]), (7, "x"), (7, "x"), (8, "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("label", F.lit(1)).withColumn("bucket", F.lit("b"))
+    config = near_dedup.NearDedupConfig(broadcast_nodes=broadcast)
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.near_dedup(df, config).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4), (None, 3), (7, 7), (7, 7), (8, 8)], key=str)
+    assert Counter(r["doc_id"] for r in near_dedup.one_of_each_class(df, config).collect()) == Counter([1, 3, 4, 7, 8])
 
 
 def test_repeated_rows_and_empty_tables(spark):
