@@ -1,24 +1,27 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Texts are normalised to words (lower case, punctuation removed). A document *window* has the word length of a benchmark item.
-Windows and items get a 64-bit SimHash of their ``k``-word shingles, weighted by multiplicity. Pairs of equal size are
-candidates if their fingerprints differ in at most ``radius`` bits: the fingerprint is cut into ``radius + 1`` blocks, so by the
-pigeonhole principle such a pair agrees on a whole block, and an equi-join on (size, block number, block value) finds all of them.
-Candidates are verified by the exact weighted Jaccard similarity of their shingle multisets (``similarity`` or more).
+Texts are normalised to words (lower case, punctuation removed). A document *window* has the word length of a benchmark item; a
+document shorter than an item is one window. Windows and items get a 64-bit SimHash of their ``k``-word shingles, weighted by
+multiplicity. Pairs of equal size are candidates if their fingerprints differ in at most ``radius`` bits: the fingerprint is cut
+into four blocks of 16 bits, of which one differs in at most ``radius // 4`` bits (pigeonhole), so an equi-join of the windows' blocks
+with all values within that distance of the items' blocks, on (size, block number, block value), finds all of them. Candidates
+are verified by the exact weighted Jaccard similarity of their shingle multisets (``similarity`` or more).
 
 Fingerprinting each of some 45 item sizes at each corpus position would cost thousands of operations per word, so windows are
 laid only where a verified match is possible. An item's longest words (four words away from both ends where there is room) are
-its *anchors*; the shingles that contain an anchor are over a fifth of the item's weight, so a window of similarity 0.8 or more shares a shingle with an anchor at a known offset. Windows are laid where such a shingle occurs, aligned
-on it and shifted by as many places as insertions allow at that similarity. A document that begins or ends inside an item has no
-place for the aligned window; there its first or last window is laid if it is no further away than that similarity allows (a ninth
-of the item's shingles). Documents without an anchor word are dropped by a set
-test inside the scan's stage; hits are linear in the text. This argument needs ``similarity`` >= 0.8, which the configuration enforces.
+its *anchors*; the shingles that contain an anchor are over a fifth of the item's weight, so a window of similarity 0.8 or more shares
+a shingle with an anchor in it, wherever it lies. Around each such shingle of a document *all* windows of the item's size that hold
+its anchor are laid, so the order of the item's parts does not matter. Documents without an anchor word are dropped by a set test
+inside the scan's stage; hits are linear in the text. This argument needs ``similarity`` >= 0.8, which the configuration enforces.
+With ``every_window`` the windows are laid at each position instead, which gives the same rows (a test holds them against each
+other).
 
 Expected fingerprint distance at similarity 0.8 is 9.7 bits with a deviation of 2.9; the default radius of 23 is over 4.5
 deviations away. Bit counts are kept in 16-bit lanes of 16 longs, which holds for items of up to 16,383 words.
 
-The anchors are sent to all tasks as a literal if there are at most ``literal_anchors`` of them; beyond that, documents' words are
-joined with the anchor table by a shuffle.
+Scale. Windows of equal words are fingerprinted and verified once, however many documents hold them. The anchors are sent to all
+tasks if they are at most ``literal_anchors`` words and ``anchor_rows`` rows; beyond that, documents' words are joined with the
+anchor table by a shuffle.
 
 Defined results: null and empty texts (or texts of punctuation alone) match nothing; an item with fewer than ``k`` words is one
 shingle; items without words are ignored. Repeated document rows count once. Extra columns are ignored. Ties between windows of
@@ -41,6 +44,8 @@ class DecontaminationConfig:
     similarity: float = 0.8
     radius: int = 23
     literal_anchors: int = 20_000
+    anchor_rows: int = 200_000
+    every_window: bool = False
 
     def __post_init__(self):
         if self.similarity < 0.8 or self.k != 5:
@@ -53,10 +58,13 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(kept, r"\s+"), lambda w: w != "")
 
 
+def shingle_starts(words: Column, k: int) -> Column:
+    """First places (from 1) of all k-word shingles; fewer than k words make one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+
+
 def shingles(words: Column, k: int) -> Column:
-    """The array of all k-word shingles; fewer than k words make one shingle."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+    return F.transform(shingle_starts(words, k), lambda i: F.array_join(F.slice(words, i, k), " "))
 
 
 def _lane_sums(hashed: Column) -> list[Column]:
@@ -75,27 +83,32 @@ def _majority(count: Column) -> Column:
     return bits
 
 
-def fingerprints(windows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """``windows`` (keys, words) with the SimHash of their shingles: keys, words, fingerprint."""
-    hashed = windows.select(*keys, "words", F.explode(shingles(F.col("words"), k)).alias("shingle"))
-    sums = hashed.groupBy(*keys).agg(F.first("words").alias("words"), F.count("*").alias("n"), *_lane_sums(F.xxhash64("shingle")))
-    return sums.select(*keys, "words", _majority(F.col("n")).alias("fingerprint"))
+def fingerprints(windows: DataFrame, k: int) -> DataFrame:
+    """(size, digest, fingerprint): the SimHash of the shingles of the windows (size, digest, words)."""
+    hashes = F.transform(shingle_starts(F.col("words"), k), lambda i: F.xxhash64(F.slice("words", i, k)))
+    sums = windows.select("size", "digest", F.explode(hashes).alias("h")).groupBy("size", "digest").agg(F.count("*").alias("n"), *_lane_sums(F.col("h")))
+    return sums.select("size", "digest", _majority(F.col("n")).alias("fingerprint"))
+
+
+def block(fingerprint: Column, number: Column) -> Column:
+    """Block 0 .. 3 of 16 bits."""
+    return F.call_function("shiftrightunsigned", fingerprint, number * 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
 
+def block_values(value: Column, bits: int) -> Column:
+    """All 16-bit values that differ from ``value`` in at most ``bits`` bits."""
+    masks = F.filter(F.sequence(F.lit(0), F.lit(0xFFFF)), lambda m: F.bit_count(m) <= bits)
+    return F.transform(masks, lambda m: m.bitwiseXOR(value))
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 (number, value) pairs that together cover the 64 bits."""
-    n = radius + 1
-    edges = [64 * b // n for b in range(n + 1)]
-    return F.array(*[
-        F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, edges[b]).bitwiseAND(F.lit((1 << (edges[b + 1] - edges[b])) - 1)).alias("value"))
-        for b in range(n)
-    ])
 
+def normal_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, digest, words, size) of the items that have words; repeated rows once."""
+    words = with_text(benchmark, "item_id").select("item_id", normal_words(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
+    return words.select("item_id", digest(F.col("words")).alias("digest"), "words", F.size("words").alias("size"))
 
-def item_words(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, size) of the items that have words; repeated rows once."""
-    words = with_text(benchmark, "item_id").select("item_id", normal_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    return words.distinct().withColumn("size", F.size("words"))
+
+def digest(words: Column) -> Column:
+    return F.md5(F.array_join(words, " "))
 
 
 def around(words: Column, offset: Column, k: int) -> Column:
@@ -105,18 +118,18 @@ def around(words: Column, offset: Column, k: int) -> Column:
 
 
 def item_anchors(items: DataFrame, k: int) -> DataFrame:
-    """(word, size, offset, near): an item's longest words, away from the ends where there is room, at each of their offsets.
+    """(word, size, near): an item's longest words, away from the ends where there is room, with what is around each of them.
 
     Of an item with m shingles max(1, m // 5 - 3) word positions are taken. Each lies in k = 5 shingles, so together they lie in at
     least m // 5 + 1, over a fifth of the item's weight.
     """
-    at = items.select("item_id", "size", F.posexplode("words").alias("offset", "word"), F.col("words"))
+    at = items.select("digest", "size", F.posexplode("words").alias("offset", "word"), F.col("words"))
     inner = F.when(F.col("size") >= 2 * k - 1, (F.col("offset") >= k - 1) & (F.col("offset") <= F.col("size") - k)).otherwise(True)
-    longest = Window.partitionBy("item_id", "words").orderBy(F.length("word").desc(), "word", "offset")
+    longest = Window.partitionBy("digest").orderBy(F.length("word").desc(), "word", "offset")
     wanted = F.greatest(F.floor((F.col("size") - (k - 1)) / 5) - 3, F.lit(1))
-    picked = at.filter(inner).withColumn("rank", F.row_number().over(longest)).filter(F.col("rank") <= wanted).select("item_id", "words", "size", "word").distinct()
-    everywhere = at.select("item_id", "words", "word", "offset", around(F.col("words"), F.col("offset"), k).alias("near"))
-    return picked.join(everywhere, ["item_id", "words", "word"]).select("word", "size", "offset", "near").distinct()
+    picked = at.filter(inner).withColumn("rank", F.row_number().over(longest)).filter(F.col("rank") <= wanted).select("digest", "word").distinct()
+    everywhere = at.select("digest", "size", "word", around(F.col("words"), F.col("offset"), k).alias("near"))
+    return picked.join(everywhere, ["digest", "word"]).select("word", "size", "near").distinct()
 
 
 def shares_shingle(a: Column, b: Column, size: Column, k: int) -> Column:
@@ -128,13 +141,11 @@ def shares_shingle(a: Column, b: Column, size: Column, k: int) -> Column:
     return any_ | (size < k)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
-    """doc_id, item_id, start (word number of the best window, from 0), n_words, distance (bits), similarity."""
-    items = written(item_words(benchmark), "items")
+def anchored(words: DataFrame, items: DataFrame, config: DecontaminationConfig) -> DataFrame:
+    """(doc_id, words, size, starts): the places of all windows that hold an anchor of an item of that size in a shingle of the item."""
     anchors = written(item_anchors(items, config.k), "anchors")
-    words = with_text(docs, "doc_id").select("doc_id", normal_words(F.col("text")).alias("words"))
     few = anchors.select("word").distinct().limit(config.literal_anchors + 1).collect()
-    if len(few) <= config.literal_anchors:
+    if len(few) <= config.literal_anchors and anchors.count() <= config.anchor_rows:
         literal = F.array(*[F.lit(r["word"]) for r in few]) if few else F.array().cast("array<string>")
         # explode_outer and the inner join, not a filter: a filter would be pushed below and cut the words a second time.
         hits = words.select("doc_id", "words", F.explode_outer(F.array_intersect("words", literal)).alias("word"))
@@ -142,33 +153,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamination
     else:
         found = words.select("doc_id", "words", F.explode_outer(F.array_distinct("words")).alias("word")).join(anchors, "word")
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) == F.col("word"))
-    found = found.select("doc_id", "words", "size", "offset", "near", F.explode_outer(places).alias("position"))
+    found = found.select("doc_id", "words", "size", "near", F.explode_outer(places).alias("position"))
     found = found.filter(shares_shingle(around(F.col("words"), F.col("position"), config.k), F.col("near"), F.col("size"), config.k))
-    slack = F.greatest(F.floor((F.col("size") - (config.k - 1)) / 9) - 4, F.lit(0)).cast("int")
-    reach = F.greatest(F.floor((F.col("size") - (config.k - 1)) / 9), F.lit(0))
-    edges = F.filter(F.array(F.lit(0), F.size("words") - F.col("size")), lambda s: F.abs(s - F.col("base")) <= reach)
-    laid = found.select("doc_id", "words", "size", (F.col("position") - F.col("offset")).alias("base"))
-    laid = laid.select("doc_id", "words", "size", F.explode(F.array_union(F.sequence(F.col("base") - slack, F.col("base") + slack), edges)).alias("start"))
-    whole = laid.filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("words")))
-    windows = whole.select("doc_id", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("words"))
-    # A document id may stand for several texts, so the window's words are part of its identity.
-    windows = windows.withColumn("digest", F.xxhash64(F.array_join("words", " "))).dropDuplicates(["doc_id", "start", "size", "digest"])
-    marked = written(fingerprints(windows, ["doc_id", "start", "size", "digest"], config.k), "windows")
-    marked_items = written(fingerprints(items, ["item_id", "size"], config.k).withColumnRenamed("fingerprint", "item_print").withColumnRenamed("words", "item_words"), "item-prints")
-
-    left = marked.select("doc_id", "start", "size", "digest", "fingerprint", F.explode(blocks(F.col("fingerprint"), config.radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    right = marked_items.select("item_id", "size", "item_print", F.explode(blocks(F.col("item_print"), config.radius)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    met = left.join(right, ["size", "block", "value"])
+    # A document id may stand for several texts, so a hash of the words is part of its identity.
+    of_text = found.groupBy("doc_id", F.xxhash64("words").alias("text_hash"), "size").agg(F.collect_set("position").alias("positions"), F.first("words").alias("words"))
+    last = F.size("words") - F.col("size")
+
+    def starts(p: Column) -> Column:
+        low = F.greatest(p - F.col("size") + 1, F.lit(0))
+        return F.sequence(low, F.greatest(F.least(p, last), low))
+
+    return of_text.select("doc_id", "words", "size", F.array_distinct(F.flatten(F.transform("positions", starts))).alias("starts"))
+
+
+def everywhere(words: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, words, size, starts): all windows of all sizes of items."""
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # numbers up to the longest item's
+    of_size = words.filter(F.size("words") > 0).select("doc_id", "words", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("size"))
+    return of_size.withColumn("starts", F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("size"), F.lit(0))))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
+    """doc_id, item_id, start (word number of the best window, from 0), n_words, distance (bits), similarity."""
+    items = written(normal_items(benchmark), "items")
+    texts = items.dropDuplicates(["digest"]).select("size", "digest", "words")
+    words = with_text(docs, "doc_id").select("doc_id", normal_words(F.col("text")).alias("words"))
+    laid = written(everywhere(words, items) if config.every_window else anchored(words, items, config), "laid")
+    windows = laid.select("doc_id", "size", "words", F.explode("starts").alias("start"))
+    windows = windows.select("doc_id", "size", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")).withColumn("digest", digest(F.col("words")))
+    different = written(windows.select("size", "digest", "words").dropDuplicates(["size", "digest"]), "windows")
+
+    prints = written(fingerprints(different, config.k), "prints")
+    item_prints = fingerprints(texts, config.k).withColumnsRenamed({"digest": "item", "fingerprint": "item_print"})
+    numbers = F.explode(F.array(*map(F.lit, range(4)))).alias("number")
+    left = prints.select("*", numbers).withColumn("value", block(F.col("fingerprint"), F.col("number")))
+    right = item_prints.select("*", numbers).withColumn("value", F.explode(block_values(block(F.col("item_print"), F.col("number")), config.radius // 4)))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    close = met.withColumn("distance", distance).filter(F.col("distance") <= config.radius).select("doc_id", "start", "size", "digest", "item_id", "distance").distinct()
-
-    same_window = F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.start") == F.col("w.start")) & (F.col("c.size") == F.col("w.size")) & (F.col("c.digest") == F.col("w.digest"))
-    pairs = close.alias("c").join(marked.alias("w"), same_window).select("c.*", "w.words")
-    pairs = pairs.join(marked_items.select("item_id", "size", "item_words"), ["item_id", "size"])
-    mine, theirs = shingles(F.col("words"), config.k), shingles(F.col("item_words"), config.k)
-    verified = pairs.withColumn("similarity", weighted_jaccard(mine, theirs)).filter(F.col("similarity") >= config.similarity)
-    best = F.min(F.struct(-F.col("similarity"), F.col("start"), "size", "distance", "similarity")).alias("best")
-    return verified.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.size").alias("n_words"), F.col("best.distance").alias("distance"), F.col("best.similarity").alias("similarity"))
+    met = left.join(right, ["size", "number", "value"]).withColumn("distance", distance).filter(F.col("distance") <= config.radius)
+    close = met.select("size", "digest", "item", "distance").distinct()
+
+    pairs = close.join(different, ["size", "digest"]).join(texts.select(F.col("digest").alias("item"), F.col("words").alias("item_words")), "item")
+    similarity = weighted_jaccard(shingles(F.col("words"), config.k), shingles(F.col("item_words"), config.k))
+    verified = pairs.select("size", "digest", "item", "distance", similarity.alias("similarity")).filter(F.col("similarity") >= config.similarity)
+    verified = written(verified, "verified")
+    found = windows.select("doc_id", "size", "start", "digest", F.size("words").alias("n_words")).join(verified, ["size", "digest"])
+    named = found.join(items.select("item_id", F.col("digest").alias("item")), "item")
+    best = F.min(F.struct(-F.col("similarity"), F.col("start"), "n_words", "distance", "similarity")).alias("best")
+    return named.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.distance").alias("distance"), F.col("best.similarity").alias("similarity"))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
