@@ -40,6 +40,8 @@ class QualityConfig:
     smoothing: float = 1.0
 
 
+#: Ratios are summed as whole numbers of this size, so that a text's score does not depend on the texts beside it.
+_UNIT = 1 << 32
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -50,7 +52,7 @@ def gram_buckets(part: TextSlice, bits: int, gram: int) -> tuple[np.ndarray, np.
     size = len(part.data)
     code = np.zeros(size, dtype=np.uint32)
     for k in range(gram):
-        code[: size - k] |= part.data[k:].astype(np.uint32) << np.uint32(8 * k)
+        code[: max(size - k, 0)] |= part.data[k:].astype(np.uint32) << np.uint32(8 * k)
     bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - bits)
     valid = np.ones(size, dtype=bool)
     for k in range(1, gram):
@@ -138,8 +140,8 @@ def duplicate_lines(part: TextSlice, inside: np.ndarray) -> np.ndarray:
     return np.bincount(row[later], minlength=part.n)
 
 
-def measure(part: TextSlice, ratio: np.ndarray, config: QualityConfig) -> dict[str, np.ndarray]:
-    """All figures of the rows of a slice."""
+def measure(part: TextSlice, units: np.ndarray, config: QualityConfig) -> dict[str, np.ndarray]:
+    """All figures of the rows of a slice; ``units`` holds the log ratio of each bucket in units of 2**-32."""
     start, end, row = part.words()
     inside = ~SPACE[part.data]
     out = {
@@ -151,7 +153,7 @@ def measure(part: TextSlice, ratio: np.ndarray, config: QualityConfig) -> dict[s
     }
     bucket, valid = gram_buckets(part, config.bits, config.gram)
     grams = part.sum_by_row(valid)
-    out["score"] = part.sum_by_row(np.where(valid, ratio[bucket], 0.0)) / np.maximum(grams, 1)
+    out["score"] = part.sum_by_row(np.where(valid, units[bucket], 0)) / (_UNIT * np.maximum(grams, 1))
     out["base_failed"] = (out["n_words"] < config.min_words) | (100 * out["n_repeat_words"] > config.max_repeat_percent * out["n_words"])
     out["kept"] = ~out["base_failed"] & (out["score"] >= config.threshold)
     return out
@@ -170,9 +172,11 @@ def score(docs: DataFrame, ratio: np.ndarray, config: QualityConfig = QualityCon
     source = docs.select(*carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"]
 
+    units = np.rint(ratio * _UNIT).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(part, ratio, config) for part in slices(batch.column("__text"))]
+            found = [measure(part, units, config) for part in slices(batch.column("__text"))]
             arrays = [batch.column(c) for c in carried]
             for name, kind in FIGURES.items():
                 values = np.concatenate([f[name] for f in found]) if found else np.zeros(0)
