@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -84,6 +85,18 @@ def test_quality_figures_equal_brute_force(spark):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and r["kept"] == (not r["base_failed"])
 
 
+def test_quality_of_tiny_texts_and_of_any_partitioning(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    for one in ("ab", "a", "é", "abc"):
+        r = quality_rules.quality_rules(spark.createDataFrame([(0, one)], "doc_id long, text string"), labels).first()
+        assert (r["score"], r["n_words"], r["kept"]) == (0.0, 1, False)
+    docs = spark.createDataFrame(list(enumerate(odd_texts(400, 9))), "doc_id long, text string")
+    ratio = quality_rules.fit(docs, labels)
+    ways = [docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("doc_id")).coalesce(1)]
+    one, *others = [{r["doc_id"]: r["score"] for r in quality_rules.score(d, ratio).collect()} for d in ways]
+    assert all(o == one for o in others) and len(set(one.values())) > 100
+
+
 def test_log_likelihood_ratio_equals_brute_force(spark):
     config = quality_rules.QualityConfig(trusted_rows=3)
     texts = ["good words here " * 9, "other fine words " * 9, "%%% $$$ ### " * 9, "abc"]
@@ -123,7 +136,43 @@ def test_token_stream_equals_the_library(spark, tmp_path):
         at += len(ids)
     one = token_output.read_documents(spark, str(tmp_path / "ids"), [7])
     assert one.first()["ids"] == library.encode(texts[-7] or "", add_special_tokens=False).ids + [2]
-    assert "PushedFilters: [In(doc_id, [7])" in one._jdf.queryExecution().toString() or "doc_id" in one._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*(In\(doc_id, \[7\]\)|EqualTo\(doc_id,7\))", one._jdf.queryExecution().toString())
+
+
+def test_token_files_have_stripes_row_indexes_and_bloom_filters(spark, tmp_path):
+    rnd = random.Random(7)
+    docs = spark.createDataFrame([(k, " ".join(str(rnd.random()) for _ in range(20))) for k in range(6000)], "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "ids")
+    token_output.write_token_ids(docs, path, token_output.TokenOutputConfig(stripe_bytes=1 << 16, row_index_stride=1000))
+    jvm, stripes, kinds = spark._jvm, 0, Counter()
+    for name in tmp_path.glob("ids/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(name)), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            stripes += 1
+            footer = rows.readStripeFooter(stripe)
+            kinds.update((s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList())
+            assert {footer.getColumns(k).getKind().toString() for k in (1, 2, 4)} == {"DIRECT_V2"}  # run-length encoding of doc_id, seq and ids
+        rows.close()
+    assert stripes > len(list(tmp_path.glob("ids/*.orc"))) and kinds["BLOOM_FILTER_UTF8", 1] == stripes and kinds["ROW_INDEX", 1] == stripes
+    assert not kinds["BLOOM_FILTER_UTF8", 2]
+
+
+@pytest.mark.parametrize("kind,ids", [("string", ["x2", None, "x1"]), ("int", [2, None, 1]), ("decimal(20,0)", [Decimal(10**19), None, Decimal(1)])])
+def test_token_stream_keeps_the_type_of_ids(spark, tmp_path, kind, ids):
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, ("b", "c c", "a"))], f"doc_id {kind}, text string")
+    got = token_output.token_output(docs, str(tmp_path / "ids")).orderBy("start")
+    assert dict(got.dtypes)["doc_id"] == kind and [r["doc_id"] for r in got.collect()] == [None, ids[2], ids[0]]
+    assert token_output.read_documents(spark, str(tmp_path / "ids"), [ids[0]]).count() == 1
+
+
+def test_other_vocabularies_are_encoded_whole(spark, tmp_path):
+    assert token_output.allows_pieces(public_path("word_bpe_49k.json")) and not token_output.allows_pieces(public_path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    texts = odd_texts(100, 8)
+    got = token_output.token_output(frame(spark, texts), str(tmp_path / "ids"), token_output.TokenOutputConfig(public_path("byte_bpe_50k.json"))).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {len(texts) - k: len(library.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
 
 
 def test_token_stream_with_repeated_and_null_ids(spark, tmp_path):

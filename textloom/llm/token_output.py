@@ -8,9 +8,10 @@ read in parallel; min/max row indexes and Bloom filters prune a lookup of single
 ``read_token_stream`` derives everything from the files: length and checksum per document, and the start of each document in
 the stream as a prefix sum in two steps (inside each file, then over the file totals, one row per file).
 
-Texts are encoded by the tokenizers library, piece by piece between white space: the vocabulary's rules never join characters
-across white space, and pieces repeat, so a bounded dictionary of pieces saves most calls. Texts with the separators
-U+001C-U+001F, which are white space for Python only, are encoded whole.
+Texts are encoded by the tokenizers library, piece by piece between white space: the default vocabulary's rules never join
+characters across white space, and pieces repeat, so a bounded dictionary of pieces saves most calls. Texts with the separators
+U+001C-U+001F, which are white space for Python only, are encoded whole, as are all texts for a vocabulary with other rules
+(normaliser, pre-tokenizer, model or added tokens that ``PIECE_RULES`` does not state).
 
 Defined results: null and empty texts hold the end id alone. Repeated rows and equal ids are kept each (ordered by a hash of the
 text among equals); null ids come first. Other columns are ignored. An empty table gives no rows.
@@ -18,6 +19,7 @@ text among equals); null ids come first. Other columns are ignored. An empty tab
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -47,6 +49,26 @@ class TokenOutputConfig:
     compress: str = "lz4"
 
 
+# The rules under which texts may be cut into pieces, as the vocabulary's file states them.
+PIECE_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "model": {"type": "BPE", "end_of_word_suffix": "</w>"},
+    "truncation": None, "padding": None,
+}
+
+
+def allows_pieces(vocabulary: str) -> bool:
+    """Whether a vocabulary's file states the rules that ``PieceEncoder`` relies on."""
+    with open(vocabulary, encoding="utf-8") as f:
+        rules = json.load(f)
+    model = {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges") and v}
+    added = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in rules.get("added_tokens") or [])
+    return added and {k: rules.get(k) for k in PIECE_RULES} | {"model": model} == PIECE_RULES
+
+
 class PieceEncoder:
     """Texts -> little-endian ids, as bytes of ``kind`` (16 bits where the vocabulary allows it).
 
@@ -60,6 +82,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.by_pieces = allows_pieces(vocabulary)
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         size = self.tokenizer.get_vocab_size()
         self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<i4"), "i")
@@ -93,6 +116,8 @@ class PieceEncoder:
         return text.split(), None
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_pieces:
+            return [self.whole(t) for t in texts]
         cut = [self.pieces(t) for t in texts]
         pieces = [p for p, _ in cut]
         distinct = set().union(*(p for p in pieces if p))
@@ -165,13 +190,16 @@ def write_token_ids(docs: DataFrame, path: str, config: TokenOutputConfig = Toke
     rows.write.options(**options).orc(path)
 
 
-def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """Token arrays of single documents; the filter is pushed down to row indexes and Bloom filters."""
-    return spark.read.schema("doc_id long, seq long, ids array<int>").orc(path).filter(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
+def read_documents(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
+    """Token arrays of single documents; the filter is pushed down to row indexes and Bloom filters. Ids have the type they were
+    written with."""
+    return spark.read.orc(path).filter(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
 def read_token_stream(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    """doc_id (of the type it was written with), start, n_tokens, ids_crc32 of every document in the files."""
+    files = spark.read.orc(path)
+    id_type = files.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +209,8 @@ def read_token_stream(spark: SparkSession, path: str) -> DataFrame:
             crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), batch.column("seq"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "shard", "seq", "n_tokens", "ids_crc32"])
 
-    files = spark.read.schema("doc_id long, seq long, ids array<int>").orc(path)
     shard = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    found = files.select("doc_id", shard.alias("shard"), "seq", "ids").mapInArrow(lean(run), "doc_id long, shard int, seq long, n_tokens long, ids_crc32 long")
+    found = files.select("doc_id", shard.alias("shard"), "seq", "ids").mapInArrow(lean(run), f"doc_id {id_type}, shard int, seq long, n_tokens long, ids_crc32 long")
     found = written(found, "token-index")  # read twice below; the ids are decoded once
     inside = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     local = found.withColumn("local_start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
