@@ -189,7 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamination
     left = prints.select("*", numbers).withColumn("value", block(F.col("fingerprint"), F.col("number")))
     right = item_prints.select("*", numbers).withColumn("value", F.explode(block_values(block(F.col("item_print"), F.col("number")), config.radius // 4)))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-    met = left.join(right, ["size", "number", "value"]).withColumn("distance", distance).filter(F.col("distance") <= config.radius)
+    met = left.join(right.hint("merge"), ["size", "number", "value"]).withColumn("distance", distance).filter(F.col("distance") <= config.radius)
     close = met.select("size", "digest", "item", "distance").distinct()
 
     pairs = close.join(different, ["size", "digest"]).join(texts.select(F.col("digest").alias("item"), F.col("words").alias("item_words")), "item")
