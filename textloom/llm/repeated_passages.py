@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import table, with_text, written
@@ -213,22 +213,16 @@ def window_matches(rows: DataFrame, open_grams: DataFrame, config: PassageConfig
 
     every = rows.join(open_grams, "gram", "left_semi").select(*_ROW).mapInArrow(lean(run), "node binary, start int, window binary")
     every = written(every.select("node", "start", F.md5("window").alias("window")).distinct(), "windows")
-    twice = every.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = every.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window").repartition("window")
     return every.join(twice, "window", "left_semi").select("node", "start")
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """Union of (node, start, end) spans as maximal spans, per node by array functions (a text bounds its own spans)."""
-    lists = spans.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def add(done, x):
-        tail = F.element_at(done, -1)
-        longer = F.struct(tail["start"].alias("start"), F.greatest(tail["end"], x["end"]).alias("end"))
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"])
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
-
-    return lists.select("node", F.explode(F.aggregate("s", empty, add)).alias("m")).select("node", "m.start", "m.end")
+    """Union of (node, start, end) spans as maximal spans: a span that begins beyond all earlier ends of its text opens a new one."""
+    before = Window.partitionBy("node").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    opens = spans.distinct().withColumn("opens", F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1))
+    island = F.sum("opens").over(Window.partitionBy("node").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
+    return opens.withColumn("island", island).groupBy("node", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
@@ -240,7 +234,8 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
 
     single = nodes.select("node", "rep", F.explode(F.arrays_zip("hashes", "positions")).alias("s")).select("node", "rep", F.col("s.hashes").alias("gram"), F.col("s.positions").alias("position"))
     place = F.struct("node", "position")
-    often = single.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("gram")
+    # The grams of a hot passage hold many rows; an exchange of its own on the small side lets adaptive execution split them.
+    often = single.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("gram").repartition("gram")
     kept = single.join(often, "gram", "left_semi")
     wanted = kept.groupBy("node", "rep").agg(F.sort_array(F.collect_list(F.struct("position", "gram"))).alias("s")).select("node", "rep", F.col("s.gram").alias("hashes"), F.col("s.position").alias("positions"))
     wanted = written(wanted, "wanted")
@@ -260,7 +255,7 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
         exact = window_matches(context, open_grams, config)
         spans = spans.union(exact.select("node", "start", (F.col("start") + config.passage).alias("end")))
     members = rows.select("doc_id", "node")
-    return members.join(merged(spans), "node").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"))
+    return members.join(merged(spans).repartition("node"), "node").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"))
 
 
 ORACLE_SQL = r"""
