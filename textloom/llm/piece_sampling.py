@@ -161,7 +161,6 @@ class Lattices:
         source, target, piece, depth = source[order], target[order], piece[order], depth[order]
         weight = np.where(piece >= 0, vocabulary.log_weight[piece], fallback)
         first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.zeros(0, dtype=np.int64)
-        node_of_edge = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(target))))
         # Forward filtering, one step for all units' nodes of equal depth.
         total = np.zeros(size)
         value = np.empty(len(target))
@@ -178,9 +177,10 @@ class Lattices:
             mass = np.add.reduceat(np.exp(value[a:b] - np.repeat(top, spread)), heads)
             total[target[a:b][heads]] = top + np.log(mass)
         share = np.exp(value - total[target])
-        running = np.cumsum(share)
-        base = np.concatenate([[0.0], running[first[1:] - 1]]) if len(first) else running
-        running = running - base[node_of_edge]
+        running, edges, k = share, np.diff(np.append(first, len(target))), 1
+        while len(later := first[edges > k]):  # one node's sums do not depend on the others beside it
+            running[later + k] += running[later + k - 1]
+            k += 1
         if len(first):
             running[np.append(first[1:], len(target)) - 1] = 1.0
         self.cumulative = running
