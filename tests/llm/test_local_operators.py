@@ -123,6 +123,16 @@ def test_token_counts_equal_the_library(spark):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((t or "").encode()), n, n > 10), t
 
 
+def test_token_counts_of_new_characters_and_empty_tables(spark):
+    library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    rnd = random.Random(10)
+    texts = ["\U00019059's", "\U00018e08螺", *["".join(rnd.choice([chr(rnd.randrange(0x80, 0xD800)), chr(rnd.randrange(0xE000, 0x110000)), "a", "1", " ", "!", "'s"]) for _ in range(12)) for _ in range(4000)]]
+    count = token_counts.merger(public_path("byte_bpe_50k.json"), 1000).count
+    assert [t for t in texts if count(t) != len(library.encode(t, add_special_tokens=False).ids)] == []
+    assert token_counts.token_counts(frame(spark, texts).limit(0)).count() == 0
+    assert piece_sampling.add_pieces(frame(spark, texts).limit(0)).count() == 0 and licence_scan.licence_scan(frame(spark, texts).limit(0)).count() == 0
+
+
 def test_token_stream_equals_the_library(spark, tmp_path):
     library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
     texts = [None, "", *odd_texts(1500, 4)]

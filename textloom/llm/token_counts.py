@@ -4,6 +4,8 @@ A text is cut at the vocabulary's special strings (one token each) and then into
 list; a heap holds the adjacent pairs by merge rank, the lowest-ranked (leftmost on ties) is merged repeatedly, and the count
 is the number of initial symbols minus the number of merges. No identifiers are produced. Counts of pre-tokens are kept in a
 per-process dictionary of at most ``cache_entries`` entries, so memory is bounded and frequent pre-tokens are merged once.
+Characters that the tokenizers library and this module's patterns put in different classes (they follow different editions of Unicode)
+are found once per process; texts with one of them are cut by the library's own pre-tokenizer.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each. Other columns are ignored.
 """
@@ -12,7 +14,8 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -43,14 +46,31 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in kept else chr(next(hidden)) for b in range(256)]
 
 
+def disputed_characters(pre_tokenize: Callable[[str], list]) -> str:
+    """The characters that are letters or digits for one of the two, this module's patterns and ``pre_tokenize``, alone."""
+    everything = "".join(chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Co"))
+    ours = regex.findall(r"[\p{L}\p{N}]", everything)
+    signs = [c for c in regex.findall(r"[^\s\p{L}\p{N}]", everything) if unicodedata.category(c) != "Cn"]
+    # Beside a sign a sign is no token of its own, and beside a letter (or digit) a letter (or digit) is none.
+    found = []
+    for beside, characters in (("!", ours), ("a", signs), ("1", signs)):
+        cut = pre_tokenize("\n".join(beside + c for c in characters))
+        together = {a for _, (a, b) in cut if b - a == 2}
+        found += [c for k, c in enumerate(characters) if 3 * k in together]
+    return "".join(found)
+
+
 class PairMerger:
     """Counts the tokens of pre-tokens; ``counts`` is the bounded memory of earlier ones."""
 
-    def __init__(self, merges: list[tuple[str, str]], specials: list[str], cache_entries: int):
+    def __init__(self, merges: list[tuple[str, str]], specials: list[str], cache_entries: int, pre_tokenize: Callable[[str], list] | None = None):
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.symbols = byte_characters()
         self.cut = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.find = regex.compile(PRE_TOKENS).findall
+        self.find_all = regex.compile(PRE_TOKENS).findall
+        self.pre_tokenize = pre_tokenize
+        disputed = disputed_characters(pre_tokenize) if pre_tokenize else ""
+        self.disputed = regex.compile(f"[{regex.escape(disputed)}]").search if disputed else None
         self.cache_entries = cache_entries
         self.counts = _Counts(self)
 
@@ -82,6 +102,12 @@ class PairMerger:
                 heapq.heappush(heap, (r, before[k]))
         return left
 
+    def find(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if self.disputed and not text.isascii() and self.disputed(text):
+            return [text[a:b] for _, (a, b) in self.pre_tokenize(text)]
+        return self.find_all(text)
+
     def count(self, text: str) -> int:
         if self.cut is None or not self.cut.search(text):
             return sum(map(self.counts.__getitem__, self.find(text)))
@@ -105,10 +131,13 @@ class _Counts(dict):
 
 @lru_cache(maxsize=2)
 def merger(vocabulary: str, cache_entries: int) -> PairMerger:
+    from tokenizers import Tokenizer
+
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
     pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-    return PairMerger(pairs, [t["content"] for t in spec["added_tokens"]], cache_entries)
+    pre_tokenize = Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str
+    return PairMerger(pairs, [t["content"] for t in spec["added_tokens"]], cache_entries, pre_tokenize)
 
 
 def token_counts(docs: DataFrame, config: TokenCountConfig = TokenCountConfig()) -> DataFrame:
