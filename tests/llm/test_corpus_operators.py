@@ -348,8 +348,7 @@ def _katz(docs, scored):
     unknown = 1 - sum(p1.values())
     stored = defaultdict(dict)
     for (a, b), c in bi.items():
-        if c >= 2:
-            stored[a][b] = mass(c, d2)
+        stored[a][b] = mass(c, d2)
     back, scale = {}, {}
     for a, s in stored.items():
         rest = max(1 - sum(s.values()) / ctx[a], 1 / (ctx[a] + 1))
@@ -360,13 +359,13 @@ def _katz(docs, scored):
     return [(i, held, len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(b, a)) for a, b in zip(["<s>", *w[:-1]], w))) for i, w, held in rows]
 
 
-@pytest.mark.parametrize("bucket,block", [(200, 50), (4_000_000, 800_000)])
-def test_katz_scores(spark, bucket, block):
+@pytest.mark.parametrize("bucket,block,rounds", [(200, 50, 3), (4_000_000, 800_000, 2)])
+def test_katz_scores(spark, bucket, block, rounds):
     rnd = random.Random(2)
     docs = [(i, " ".join(rnd.choice("abcdefghijKLmnop") * rnd.choice([1, 1, 1, 2, 3]) for _ in range(rnd.randint(0, 30)))) for i in range(200)]
     docs += [(300, None), (301, ""), (None, "a b"), (7, "x y z"), docs[3]]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit("x"))
-    config = katz_model.KatzConfig(tokens_per_bucket=bucket, block_tokens=block)
+    config = katz_model.KatzConfig(tokens_per_bucket=bucket, block_tokens=block, rounds=rounds)
     got = sorted((tuple(r) for r in katz_model.katz_scores(df, config).collect()), key=str)
     want = sorted(_katz(docs, df), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]

@@ -1,24 +1,24 @@
 """Language-model scores by Katz backoff.
 
-Tokens are words with A-Z in lower case and one end token per text. The model is a bigram model over the training fold:
+Tokens are words with A-Z in lower case and one end token per text. The model is a bigram model over the training fold that keeps
+every bigram, those seen once too:
 
-* P(w | h) = s(h) d(r) r / c(h) for a stored bigram of count r, else a(h) P(w);
+* P(w | h) = s(h) d(r) r / c(h) for a bigram of count r, else a(h) P(w);
 * P(w) = d(c) c / N for a known word, else the whole mass left over by discounting, for one unknown-word type.
 
 d is the Good-Turing discount in Katz's form for counts up to ``katz_limit`` (1 above), from counts of counts over the whole
-training fold; where those give no discount between 0 and 1 (tiny or odd corpora) absolute discounting takes its place. Bigrams
-below ``least_count`` are left to backoff. a(h) = (1 - sum of stored P) / (1 - sum of their P(w)) is exact, so for every context
-the probabilities of all V words and the unknown type add up to 1. s(h) is 1 but where a context's stored bigrams would leave no
-mass; then 1 / (c(h) + 1) is set aside.
-
-Tables and scale. Unigrams (word, count), bigrams (context, word, count, unigram log probability) and contexts (count, backoff)
-are Parquet tables written in ``buckets`` of contexts. Neither tokens nor counts meet on one machine: texts are sent as packed
-pages, one row per block of texts and bucket, that hold each distinct bigram of the block once. A frequent context is split by its
-next word over several buckets (at most ``4 * buckets`` contexts are that frequent, which bounds their list). A bucket's pages are
-scored against that bucket's part of the tables: per token the bigram is looked up, else backoff to the unigram, else to the
-unknown type. Partial sums per text travel packed,
-in as many parts as there are buckets, and are added there by key. Words are 64-bit hashes; inside a context the scoring pages tell next words
-apart by 48 bits of them.
+training fold; where those give no discount between 0 and 1 (tiny or odd corpora) absolute discounting takes its place.
+a(h) = (1 - sum of the bigrams' P) / (1 - sum of their P(w)) is exact, so for every context the probabilities of all V words and the
+unknown type add up to 1. s(h) is 1 but where a context's bigrams would leave no mass; then 1 / (c(h) + 1) is set aside.
+
+Tables and scale. Unigrams (word, count), bigrams (packed by bucket of contexts: contexts, run lengths, words, counts) and contexts
+(count, scale, backoff) are Parquet tables. Neither tokens nor counts meet on one machine: texts are sent as packed pages, one row
+per block of texts and bucket, that hold each distinct bigram of the block once. A frequent context is split by its next word over
+several buckets (at most ``4 * buckets`` contexts are that frequent, which bounds their list). A bucket's pages are scored
+against that bucket's part of the tables: per token the bigram is looked up; else the backoff weight is taken and the word goes on
+to the bucket of its unigram. Exchanges have as many partitions as there are buckets, so a task's share does not grow with the
+corpus; the passes over contexts and over pages go in ``rounds``, each over a part of the buckets, which bounds the disk that is in use at a time.
+Partial sums per text travel packed and are added by key. Words are 64-bit hashes.
 
 Defined results: null and empty texts are one end token. A null doc_id counts as empty text for the fold. Repeated rows are each
 scored, and counted each in training. With no training text the counts are 0, every token is unknown and the score is 0.0.
@@ -28,15 +28,16 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import discard, drop_finished_shuffles, table, with_text, written
+from .tables import drop_finished_shuffles, table, with_text, written
 from .textarrays import LOWER_ASCII, TextSlice, lean, lean_group, mix, return_freed_arrays, slices
 
 
@@ -45,14 +46,13 @@ class KatzConfig:
     folds: int = 7
     held_out: int = 2
     katz_limit: int = 5
-    least_count: int = 2
     tokens_per_bucket: int = 4_000_000
     block_tokens: int = 450_000
+    rounds: int = 3
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 END, BEGIN = np.uint64(0x1D0C5A3F9B7E2461), np.uint64(0x2E8F6B1C7D4A9053)
-_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def signed(x: np.uint64) -> int:
@@ -171,7 +171,9 @@ def unigram_counts(docs: DataFrame, config: KatzConfig) -> DataFrame:
 
 
 def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig) -> DataFrame:
-    """(context, token, count) of bigrams of ``least_count`` or more; rows with a null context hold counts of counts (token: r)."""
+    """One row for each bucket: its contexts, the number of next words of each, next words and counts as packed numbers, and how
+    many of its bigrams have counts 1, 2 .. ``katz_limit`` + 1 (columns n1, n2 ..)."""
+    counts_of_counts = [f"n{r}" for r in range(1, config.katz_limit + 2)]
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,31 +192,40 @@ def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig)
         return_freed_arrays()
         context = np.repeat(flat(pages_, "contexts", np.uint64), flat(pages_, "runs", np.uint32))
         token, counts = flat(pages_, "tokens", np.uint64), flat(pages_, "counts", np.uint32)
-        key = np.empty(len(token), dtype=np.uint64)
-        for at in range(0, len(key), 250_000):
-            key[at : at + 250_000] = _pair_hash(context[at : at + 250_000], token[at : at + 250_000])
         n, kept = np.zeros(config.katz_limit + 3, dtype=np.int64), []
-        for part in range(8):  # equal pairs have equal hashes, so an eighth of the hash range is sorted at a time
-            own = np.flatnonzero((key >> np.uint64(61)) == part)
-            own = own[np.argsort(key[own])]
-            first = np.flatnonzero(np.concatenate([[True], key[own[1:]] != key[own[:-1]]])) if len(own) else own
+        top = np.uint64(61)
+        for part in range(8):  # an eighth of the range of contexts is sorted at a time
+            own = np.flatnonzero((context >> top) == part)
+            own = own[np.lexsort((token[own], context[own]))]
+            c, t = context[own], token[own]
+            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])) if len(own) else own
             count = np.add.reduceat(counts[own].astype(np.int64), first) if len(own) else own
             n += np.bincount(np.minimum(count, config.katz_limit + 2), minlength=len(n))
-            stored = count >= config.least_count
-            at = own[first[stored]]
-            kept.append((context[at], token[at], count[stored]))
+            kept.append((c[first], t[first], np.minimum(count, 0xFFFFFFFF).astype(np.uint32)))
         c, t, r = (np.concatenate(x) for x in zip(*kept))
-        n = n[1 : config.katz_limit + 2]
-        columns = [
-            pa.concat_arrays([pa.array(c.view(np.int64)), pa.nulls(len(n), pa.int64())]),
-            pa.array(np.concatenate([t.view(np.int64), np.arange(1, len(n) + 1)])),
-            pa.array(np.concatenate([r, n])),
-        ]
-        return pa.Table.from_arrays(columns, ["context", "token", "count"])
+        own, runs = _runs(c)
+        row = [pa.array([pages_.column("bucket")[0].as_py()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (own, runs, t, r)], *[pa.array([int(x)]) for x in n[1 : config.katz_limit + 2]]]
+        return pa.Table.from_arrays(row, ["bucket", "contexts", "runs", "tokens", "counts", *counts_of_counts])
 
     train = with_text(docs.filter(~fold_column(config)))
-    paged = train.mapInArrow(lean(pages), "bucket int, contexts binary, runs binary, tokens binary, counts binary")
-    return paged.groupBy("bucket").applyInArrow(lean_group(merge), "context long, token long, count long")
+    paged = train.mapInArrow(lean(pages), "bucket int, contexts binary, runs binary, tokens binary, counts binary").repartition(buckets, "bucket")
+    return paged.groupBy("bucket").applyInArrow(lean_group(merge), "bucket int, contexts binary, runs binary, tokens binary, counts binary, " + ", ".join(f"{c} long" for c in counts_of_counts))
+
+
+def bigram_rows(bigrams: DataFrame, number: int, rounds: int) -> DataFrame:
+    """(context, word, count) of the packed bigrams whose contexts fall to round ``number``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, runs, token, count = (np.frombuffer(batch.column(c)[k].as_py(), dtype=t) for c, t in (("contexts", np.uint64), ("runs", np.uint32), ("tokens", np.uint64), ("counts", np.uint32)))
+                context = np.repeat(own, runs)
+                here = np.flatnonzero((context >> np.uint64(8)) % np.uint64(rounds) == number)
+                for at in range(0, len(here), 100_000):
+                    i = here[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(context[i].view(np.int64)), pa.array(token[i].view(np.int64)), pa.array(count[i].astype(np.int64))], ["context", "word", "count"])
+
+    return bigrams.select("contexts", "runs", "tokens", "counts").mapInArrow(lean(run), "context long, word long, count long")
 
 
 @dataclass(frozen=True)
@@ -222,8 +233,9 @@ class KatzModel:
     """Tables and constants of a fitted model."""
 
     unigrams: DataFrame  # word, count, log_p
-    bigrams: DataFrame  # context, token, log_stored (log10 of d(r) r), log_p (of the token)
+    bigrams: DataFrame  # bucket and packed contexts, runs, tokens, counts
     contexts: DataFrame  # context, count, log_p (null: begin), log_scale (log10 of s(h) / c(h)), log_backoff
+    discounts: list[float]  # of bigrams of counts 1, 2 ..
     train_tokens: int
     vocabulary: int
     log_unknown: float
@@ -265,16 +277,17 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     hot = {"word": np.array([r[0] for r in rows], dtype=np.uint64), "parts": np.array([min(r[1], buckets) for r in rows], dtype=np.int64)}
 
     drop_finished_shuffles(spark)
-    pairs = written(bigram_counts(docs, hot, buckets, config), "bigram-counts")
+    bigrams = written(bigram_counts(docs, hot, buckets, config), "bigrams")
     drop_finished_shuffles(spark)
-    n2 = {r["token"]: r["n"] for r in pairs.filter("context is null").groupBy("token").agg(F.sum("count").alias("n")).collect()}  # katz_limit + 1 rows
-    d2 = discounts(n2, k)
-    stored = pairs.filter("context is not null").withColumnRenamed("token", "word")
-    bigrams = stored.join(unigrams.select("word", "log_p"), "word").select("context", F.col("word").alias("token"), discounted(F.col("count"), d2).alias("mass"), "log_p")
-    bigrams = written(bigrams.select("context", "token", "mass", F.log10("mass").alias("log_stored"), "log_p"), "bigrams")
-    discard(pairs)
-    drop_finished_shuffles(spark)
-    sums = bigrams.groupBy("context").agg(F.sum("mass").alias("mass"), F.sum(F.pow(F.lit(10.0), F.col("log_p"))).alias("lower"))
+    n2 = bigrams.agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, k + 2)]).first()
+    d2 = discounts({r: n for r, n in enumerate(n2, 1) if n}, k)
+    sums = []
+    for number in range(config.rounds):
+        rows = bigram_rows(bigrams, number, config.rounds).select("context", "word", discounted(F.col("count"), d2).alias("mass"))
+        joined = rows.join(unigrams.select("word", F.pow(F.lit(10.0), F.col("log_p")).alias("p")), "word")
+        sums.append(written(joined.groupBy("context").agg(F.sum("mass").alias("mass"), F.sum("p").alias("lower")), "sums"))
+        drop_finished_shuffles(spark)
+    sums = reduce(DataFrame.union, sums)
     begin = spark.createDataFrame([(signed(BEGIN), end_count, None)], "context long, count long, log_p double")
     every = unigrams.filter(F.col("word") != signed(END)).select(F.col("word").alias("context"), "count", "log_p").union(begin.filter("count > 0"))
     share = F.coalesce("mass", F.lit(0.0)) / F.col("count")
@@ -285,88 +298,120 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     contexts = written(contexts, "contexts")
     drop_finished_shuffles(spark)
     log_end = math.log10((end_count * (d1[end_count - 1] if 0 < end_count <= k else 1.0) - d_all) / N) if end_count else log_unknown
-    return KatzModel(unigrams, bigrams, contexts, N, V, log_unknown, end_count, log_end, hot, buckets)
+    return KatzModel(unigrams, bigrams, contexts, d2, N, V, log_unknown, end_count, log_end, hot, buckets)
 
 
-def _bucketed(model: KatzModel) -> DataFrame:
-    """The model's rows by bucket: contexts (token null) in each bucket that their pairs go to, and bigrams."""
+def _bucketed_contexts(model: KatzModel) -> DataFrame:
+    """(bucket, context, count, log_p, scale, backoff): the contexts in each bucket that their pairs go to."""
     spark, B = model.contexts.sparkSession, F.lit(model.buckets)
     words = [(int(np.uint64(w).view(np.int64)), int(p)) for w, p in zip(model.hot["word"], model.hot["parts"])]
     hot = F.broadcast(spark.createDataFrame(words, "context long, parts long"))  # at most 4 * buckets rows
-    base, parts = F.shiftrightunsigned("context", 16), F.coalesce("parts", F.lit(1).cast("long"))
-    contexts = model.contexts.join(hot, "context", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.least(parts, B.cast("long")) - 1)))
-    contexts = contexts.select(F.pmod(base + F.col("part"), B).cast("int").alias("bucket"), "context", F.lit(None).cast("long").alias("token"), "count", "log_p", F.col("log_scale").alias("x"), F.col("log_backoff").alias("y"))
-    pairs = model.bigrams.join(hot, "context", "left")
-    pairs = pairs.select(F.pmod(base + F.pmod(F.shiftrightunsigned("token", 16), parts), B).cast("int").alias("bucket"), "context", "token", F.lit(None).cast("long").alias("count"), "log_p", F.col("log_stored").alias("x"), F.lit(None).cast("double").alias("y"))
-    return contexts.union(pairs)
+    parts = F.least(F.coalesce("parts", F.lit(1).cast("long")), B.cast("long"))
+    spread = model.contexts.join(hot, "context", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return spread.select(F.pmod(F.shiftrightunsigned("context", 16) + F.col("part"), B).cast("int").alias("bucket"), "context", "count", "log_p", F.col("log_scale").alias("scale"), F.col("log_backoff").alias("backoff"))
+
+
+_SUMS = ("keys", "n", "known", "base", "log")
 
 
 def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row."""
-    hot, buckets, N, V = model.hot, model.buckets, model.train_tokens, model.vocabulary
-    log_unknown, log_total = model.log_unknown, math.log10(N + V + 1)
-
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "contexts", "runs", "low", "high", "uses", "rows", "keys"]
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            for context, token, row, at_row in blocks(batch, config.block_tokens):
-                which, bucket, c, t = _distinct_pairs(context, token, hot, buckets)
-                uses = np.bincount(which, minlength=len(c)).astype(np.uint32)
-                row = row[np.argsort(which, kind="stable")].astype(np.int32)
-                token_cut = np.concatenate([[0], np.cumsum(uses)]).astype(np.int64)
-                full, size = _runs(bucket)
-                cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-                out = []
-                for a, b in zip(cut[:-1], cut[1:]):
-                    own, length = _runs(c[a:b])
-                    met, local = np.unique(row[token_cut[a] : token_cut[b]], return_inverse=True)
-                    local = local.astype(np.uint16) if len(met) < 65536 else local.astype(np.uint32)
-                    out.append((own.tobytes(), length.tobytes(), (t[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((t[a:b] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), uses[a:b].tobytes(), local.tobytes(), keys[at_row + met].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(full), *[pa.array(x, pa.binary()) for x in zip(*out)]], names)
+    hot, buckets, N, V, k = model.hot, model.buckets, model.train_tokens, model.vocabulary, config.katz_limit
+    log_unknown, log_end, log_total = model.log_unknown, model.log_end, math.log10(N + V + 1)
+    masses = np.array([r * d for r, d in enumerate(model.discounts, 1)])
+
+    def pages_of(number: int):
+        def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["bucket", "contexts", "runs", "tokens", "uses", "rows", "keys"]
+            for batch in batches:
+                keys = batch.column("key").to_numpy()
+                for context, token, row, at_row in blocks(batch, config.block_tokens):
+                    here = split_buckets(context, token, hot, buckets) % config.rounds == number
+                    which, bucket, c, t = _distinct_pairs(context[here], token[here], hot, buckets)
+                    uses = np.bincount(which, minlength=len(c)).astype(np.uint32)
+                    row = row[here][np.argsort(which, kind="stable")].astype(np.int32)
+                    token_cut = np.concatenate([[0], np.cumsum(uses)]).astype(np.int64)
+                    full, size = _runs(bucket)
+                    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                    out = []
+                    for a, b in zip(cut[:-1], cut[1:]):
+                        own, length = _runs(c[a:b])
+                        met, local = np.unique(row[token_cut[a] : token_cut[b]], return_inverse=True)
+                        local = local.astype(np.uint16) if len(met) < 65536 else local.astype(np.uint32)
+                        out.append((own.tobytes(), length.tobytes(), t[a:b].tobytes(), uses[a:b].tobytes(), local.tobytes(), keys[at_row + met].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array([o[x] for o in out], pa.binary()) for x in range(6)]], names)
+
+        return pages
+
+    def lookup(rows: pa.Table) -> Callable:
+        """A function of (words, column, other) that finds the values of contexts, ``other`` where there is none."""
+        there = rows.filter(rows.column("context").is_valid())
+        word = there.column("context").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        word = word[order]
+        columns = {c: np.nan_to_num(there.column(c).to_numpy(zero_copy_only=False).astype(np.float64))[order] for c in ("count", "log_p", "scale", "backoff")}
+
+        def find(wanted: np.ndarray) -> Callable:
+            if not len(word):
+                return lambda name, other: np.full(len(wanted), other)
+            at = np.minimum(np.searchsorted(word, wanted), len(word) - 1)
+            found = word[at] == wanted
+            return lambda name, other: np.where(found, columns[name][at], other)
+
+        return find
 
     def add_up(pages_: pa.Table, rows: pa.Table) -> pa.Table:
         return_freed_arrays()
-        is_context = np.asarray(rows.column("token").is_null())
-        word = rows.column("context").to_numpy().view(np.uint64)
-        number = lambda name: rows.column(name).to_numpy(zero_copy_only=False)
-        order = np.flatnonzero(is_context)
-        order = order[np.argsort(word[order])]
-        known = {"context": word[order], "count": number("count")[order].astype(np.float64), "log_p": np.nan_to_num(number("log_p")[order].astype(np.float64)), "scale": number("x")[order].astype(np.float64), "backoff": number("y")[order].astype(np.float64)}
-        rest = np.flatnonzero(~is_context)
-        tokens = np.asarray(rows.column("token").fill_null(0)).astype(np.int64).view(np.uint64)[rest]
-        key = _pair_hash(word[rest], tokens & _LOW48)
+        find = lookup(rows)
+        stored_rows = rows.filter(rows.column("context").is_null())
+        key = _pair_hash(np.repeat(flat(stored_rows, "contexts", np.uint64), flat(stored_rows, "runs", np.uint32)), flat(stored_rows, "tokens", np.uint64))
+        count = flat(stored_rows, "counts", np.uint32)
+        mass = np.log10(np.where(count <= k, masses[np.minimum(count, k) - 1], count.astype(np.float64)))
         ranked = np.argsort(key)
-        key, gain = key[ranked], (number("x")[rest].astype(np.float64) - number("log_p")[rest].astype(np.float64))[ranked]
-        found: list[list[np.ndarray]] = [[] for _ in range(5)]
+        key, mass = key[ranked], mass[ranked]
+        found: list[list[np.ndarray]] = [[] for _ in _SUMS]
+        words, texts = [], []
         for page in (row for chunk in pages_.to_batches(max_chunksize=16) for row in chunk.to_pylist()):
-            own = np.frombuffer(page["contexts"], dtype=np.uint64)
+            own, token = np.frombuffer(page["contexts"], dtype=np.uint64), np.frombuffer(page["tokens"], dtype=np.uint64)
             runs, uses = np.frombuffer(page["runs"], dtype=np.uint32), np.frombuffer(page["uses"], dtype=np.uint32)
-            token = np.frombuffer(page["low"], dtype=np.uint32).astype(np.uint64) | np.frombuffer(page["high"], dtype=np.uint16).astype(np.uint64) << np.uint64(32)
             docs_ = np.frombuffer(page["keys"], dtype=np.int64)
             local = np.frombuffer(page["rows"], dtype=np.uint16 if len(docs_) < 65536 else np.uint32)
-            # Unigram level: what each context says as a token of its own, and what it lends to its next words.
-            if len(known["context"]):
-                at = np.minimum(np.searchsorted(known["context"], own), len(known["context"]) - 1)
-                there = known["context"][at] == own
-            else:
-                at, there = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
-            pick = lambda name, other: np.where(there, known[name][at], other) if len(known["context"]) else np.full(len(own), other)  # noqa: E731, B023
-            count, is_begin = pick("count", 0.0), own == BEGIN
-            as_token = np.where(is_begin, 0.0, pick("log_p", log_unknown))
-            base = np.where(is_begin, 0.0, np.log10(count + 1) - log_total)
-            knows = ((count > 0) & ~is_begin).astype(np.float64)
-            scale, backoff = pick("scale", 0.0), pick("backoff", 0.0)
-            # Bigram level: stored, else backoff.
+            # What each context says as a token of its own, and what it lends to its next words.
+            of, is_begin = find(own), own == BEGIN
+            total = of("count", 0.0)
+            base = np.where(is_begin, 0.0, np.log10(total + 1) - log_total)
+            knows = ((total > 0) & ~is_begin).astype(np.float64)
             context_of = np.repeat(np.arange(len(own)), runs)
             wanted = _pair_hash(own[context_of], token)
             spot = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
             stored = key[spot] == wanted if len(key) else np.zeros(len(wanted), dtype=bool)
-            value = np.where(stored, (gain[spot] if len(key) else 0.0) + scale[context_of], backoff[context_of]) + as_token[context_of]
+            value = np.where(stored, (mass[spot] if len(key) else 0.0) + of("scale", 0.0)[context_of], of("backoff", 0.0)[context_of] + np.where(token == END, log_end, 0.0))
             for out, x in zip(found[1:], (None, knows[context_of], base[context_of], value)):
                 out.append(np.bincount(local, weights=None if x is None else np.repeat(x, uses), minlength=len(docs_)))
             found[0].append(docs_)
-        return packed([np.concatenate(x) if x else np.zeros(0) for x in found])
+            on = np.repeat(~stored & (token != END), uses)  # these go on to their unigrams
+            words.append(np.repeat(token, uses)[on])
+            texts.append(docs_[local[on]])
+        sums = packed([np.concatenate(x) if x else np.zeros(0) for x in found])
+        return pa.concat_tables([sums, unseen(np.concatenate(words), np.concatenate(texts))]) if words else sums
+
+    def unseen(words: np.ndarray, texts: np.ndarray) -> pa.Table:
+        """One row for each bucket of unigrams that is asked: words and the keys of their texts."""
+        bucket = split_buckets(words, texts.view(np.uint64), hot, buckets)
+        order = np.argsort(bucket, kind="stable")
+        met, size = _runs(bucket[order])
+        cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        spans = list(zip(cut[:-1], cut[1:]))
+        nothing = pa.nulls(len(met), pa.binary())
+        return pa.Table.from_arrays([pa.array(met, pa.int32()), pa.array([texts[order[a:b]].tobytes() for a, b in spans], pa.binary()), nothing, nothing, nothing, nothing, pa.array([words[order[a:b]].tobytes() for a, b in spans], pa.binary())], ["part", *_SUMS, "words"])
+
+    def unigram_level(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        return_freed_arrays()
+        keys = flat(asked, "keys", np.int64)
+        value = lookup(rows)(flat(asked, "words", np.uint64))("log_p", log_unknown)
+        distinct, which = np.unique(keys, return_inverse=True)
+        nothing = np.zeros(len(distinct))
+        return packed([distinct, nothing, nothing, nothing, np.bincount(which, value, len(distinct))])
 
     def packed(sums: list[np.ndarray]) -> pa.Table:
         """One row for each part of the texts that occurs, its sums as arrays."""
@@ -377,7 +422,7 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
         cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         rows = [[keys[order[a:b]].tobytes(), *(v[order[a:b]].tobytes() for v in values)] for a, b in zip(cut[:-1], cut[1:])]
         columns = [pa.array([r[c] for r in rows], pa.binary()) for c in range(5)]
-        return pa.Table.from_arrays([pa.array(met, pa.int32()), *columns], ["part", "keys", "n", "known", "base", "log"])
+        return pa.Table.from_arrays([pa.array(met, pa.int32()), *columns, pa.nulls(len(rows), pa.binary())], ["part", *_SUMS, "words"])
 
     def text_sums(rows: pa.Table) -> pa.Table:
         keys = flat(rows, "keys", np.int64)
@@ -390,16 +435,30 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
 
     # The key stands for all rows of equal id and text; their sums add up and are divided by their number below.
     keyed = with_text(docs, "doc_id").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    paged = keyed.select("key", "text").mapInArrow(lean(pages), "bucket int, contexts binary, runs binary, low binary, high binary, uses binary, rows binary, keys binary")
-    parts = paged.groupBy("bucket").cogroup(_bucketed(model).groupBy("bucket")).applyInArrow(lean_group(add_up), "part int, keys binary, n binary, known binary, base binary, log binary")
-    sums = parts.groupBy("part").applyInArrow(lean_group(text_sums), "key long, n long, known long, base double, log double")
+    schema = "part int, " + ", ".join(f"{c} binary" for c in (*_SUMS, "words"))
+    contexts = _bucketed_contexts(model)
+    none = lambda *columns: [F.lit(None).cast(t).alias(c) for c, t in columns]
+    arrays = ["contexts", "runs", "tokens", "counts"]
+    numbers = [("context", "long"), ("count", "long"), ("log_p", "double"), ("scale", "double"), ("backoff", "double")]
+    tables = contexts.select("bucket", *[c for c, _ in numbers], *none(*[(c, "binary") for c in arrays])).union(model.bigrams.select("bucket", *none(*numbers), *arrays))
+    parts = []
+    for number in range(config.rounds):
+        mine = tables.filter(F.col("bucket") % config.rounds == number).repartition(buckets, "bucket")
+        paged = keyed.select("key", "text").mapInArrow(lean(pages_of(number)), "bucket int, contexts binary, runs binary, tokens binary, uses binary, rows binary, keys binary").repartition(buckets, "bucket")
+        parts.append(written(paged.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(lean_group(add_up), schema), "scored"))
+        drop_finished_shuffles(docs.sparkSession)
+    parts = reduce(DataFrame.union, parts)
+    asked = parts.filter("words is not null").select(F.col("part").alias("bucket"), "keys", "words").repartition(buckets, "bucket")
+    rest = asked.groupBy("bucket").cogroup(contexts.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(lean_group(unigram_level), schema)
+    of_texts = parts.filter("words is null").union(rest).select("part", *_SUMS).repartition(buckets, "part")
+    sums = of_texts.groupBy("part").applyInArrow(lean_group(text_sums), "key long, n long, known long, base double, log double")
     rows = keyed.select("doc_id", "key", fold_column(config).alias("held_out"))
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     done = sums.join(copies, "key")
     end_known, end_base = int(model.end_count > 0), math.log10(model.end_count + 1) - log_total
     each = done.select(
         "key", F.floor(F.col("n") / F.col("copies")).alias("n_tokens"), (F.floor(F.col("known") / F.col("copies")) + end_known).alias("n_known"),
-        (F.col("base") / F.col("copies") + end_base).alias("base_score"), (F.col("log") / F.col("copies") + model.log_end).alias("score"))
+        (F.col("base") / F.col("copies") + end_base).alias("base_score"), (F.col("log") / F.col("copies")).alias("score"))
     return rows.join(each, "key").select("doc_id", "held_out", F.col("n_tokens").cast("long"), F.col("n_known").cast("long"), F.lit(N).cast("long").alias("train_tokens"), "base_score", "score")
 
 
