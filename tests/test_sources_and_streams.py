@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators.checks import IntegrityError
-from textloom.sources import config, readers, writers
+from textloom.sources import config, readers, sheets, writers
 from textloom.streaming import resume
 
 
@@ -114,3 +114,62 @@ def test_windowed_counts_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.sql("SELECT n FROM counts").collect()) == [1, 1, 2]
+
+
+def test_spreadsheets(spark, tmp_path):
+    rows = [("a & <b> \x01 _x0041_", 1, 0.5, True), (None, None, None, None), ("", -3, 1e300, False), (" é\n\"q\" ", 2**53 + 1, -0.1, True)]
+    df = spark.createDataFrame(rows, "t string, n long, x double, b boolean")
+    sheets.write_spreadsheet(df, str(tmp_path / "a.xlsx"), 'it & "ems"')
+    back = sheets.read_spreadsheet(spark, str(tmp_path / "a.xlsx"), "b boolean, t string, n long, x double", 'it & "ems"')
+    assert [(r["t"], r["n"], r["x"], r["b"]) for r in back.collect()] == rows
+    with pytest.raises(ValueError):
+        sheets.read_spreadsheet(spark, str(tmp_path / "a.xlsx"), "other string")
+
+
+def test_sheet_with_shared_strings(spark, tmp_path):
+    import zipfile
+
+    main, office = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="x" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="/xl/worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>k</t></si><si><r><t>on</t></r><r><t>e</t></r></si><si><t>v</t></si></sst>")
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>2</v></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row><row><c r="C3"><v>8</v></c></row></sheetData></worksheet>')
+    assert [tuple(r) for r in sheets.read_spreadsheet(spark, str(tmp_path / "s.xlsx"), "k string, v int").collect()] == [("one", 7), (None, 8)]
+
+
+def test_shards_are_redone_where_they_are_not_whole(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(200)], "k long, v string")
+    assert writers.write_shards(df, path, ["k"], 5) == [0, 1, 2, 3, 4] and writers.write_shards(df, path, ["k"], 5) == []
+    for part in (tmp_path / "shards" / "shard=3").glob("*.parquet"):
+        part.write_bytes(b"not parquet")
+    for crc in (tmp_path / "shards" / "shard=3").glob(".*.crc"):
+        crc.unlink()
+    writers.delete(spark, f"{path}/shard=1")
+    assert writers.write_shards(df, path, ["k"], 5) == [1, 3]
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == sorted((k, f"v{k}") for k in range(200))
+
+
+def test_files_protocols_and_copies(spark, tmp_path):
+    (tmp_path / "from").mkdir()
+    (tmp_path / "from" / "p.yaml").write_text("version: 2\nbudget: 3500 # tokens\nruns:\n  - a: 1\n")
+    digest = config.sha256_of(str(tmp_path / "from" / "p.yaml"))
+    copy = lambda: config.copy_verified(str(tmp_path / "from"), str(tmp_path / "to"), {"p.yaml": digest})
+    assert copy() == ["p.yaml"] and copy() == []
+    assert config.read_protocol(str(tmp_path / "to" / "p.yaml"), digest, "2")["budget"] == "3500"
+    with pytest.raises(ValueError):
+        config.read_protocol(str(tmp_path / "to" / "p.yaml"), digest, "3")
+    with pytest.raises(ValueError):
+        config.copy_verified(str(tmp_path / "from"), str(tmp_path / "to"), {"p.yaml": "0"})
+    assert readers.require_file(spark, str(tmp_path / "to" / "p.yaml"), digest, 48) and config.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
+    with pytest.raises(IntegrityError):
+        readers.require_file(spark, str(tmp_path / "to" / "p.yaml"), size=1)
+
+
+def test_vectors_must_be_contiguous(spark, tmp_path):
+    spark.createDataFrame([(0, [1.0, 2.0]), (2, [1.0, 2.0])], "row long, vector array<double>").write.parquet(str(tmp_path / "v"))
+    with pytest.raises(IntegrityError):
+        readers.read_vectors(spark, str(tmp_path / "v"), 2)
+    with pytest.raises(IntegrityError):
+        readers.read_vectors(spark, str(tmp_path / "v"), 3)

@@ -30,7 +30,7 @@ def test_cleaning_keeps_its_order(spark):
     assert one(spark, text.shortened(F.lit("abcdef"), 3)) == "abc ..."
 
 
-@pytest.mark.parametrize("p,g,em,f1", [("The fictional dose was increased.", "fictional dose was increased", 1.0, 1.0), ("dose increased", "the dose was increased", 0.0, 0.8), ("", "x", 0.0, 0.0), ("the", "a", 1.0, 0.0)])
+@pytest.mark.parametrize("p,g,em,f1", [("The fictional dose was increased.", "fictional dose was increased", 1.0, 1.0), ("dose increased", "the dose was increased", 0.0, 0.8), ("", "x", 0.0, 0.0), ("the", "a", 1.0, 0.0), ("“The dose” rose", "“ dose” rose", 1.0, 1.0), ("a—b", "—b", 1.0, 1.0), ("the’s an… x", "’s … x", 1.0, 1.0), ("thé_a", "théa", 1.0, 1.0)])
 def test_exact_match_and_f1(spark, p, g, em, f1):
     assert one(spark, text.exact_match(F.lit(p), F.lit(g))) == em
     assert one(spark, text.token_f1(F.lit(p), F.lit(g))) == pytest.approx(f1)
@@ -41,7 +41,7 @@ def test_f1_variant_on_two_empty_sides(spark):
     assert one(spark, text.token_f1(F.lit(""), F.lit("x"), empty_equal=True)) == 0.0
 
 
-@pytest.mark.parametrize("t,g", [("Feedback ... [RESULT] 4", 4), ("[RESULT] 2 [RESULT] 5", 5), ("[RESULT] 7", None), ("no result", None), ("[RESULT] 3.5", None), ("[RESULT] +3", 3), (None, None)])
+@pytest.mark.parametrize("t,g", [("Feedback ... [RESULT] 4", 4), ("[RESULT] 2 [RESULT] 5", 5), ("[RESULT] 7", None), ("no result", None), ("[RESULT] 3.5", None), ("[RESULT] +3", 3), ("[RESULT] .5", 5), ("[RESULT] Score.4", 4), ("[RESULT] ...3", 3), ("[RESULT] 4.", 4), ("[RESULT] -2", None), ("[RESULT] 004 of 5", 4), ("[RESULT] 10000000000000000000004", None), ("[RESULT] 3.", 3), (None, None)])
 def test_parsed_grade(spark, t, g):
     assert one(spark, text.parsed_grade(F.lit(t).cast("string"))) == g
 

@@ -88,9 +88,10 @@ def contains_any(c: Column, keywords: tuple[str, ...]) -> Column:
 
 
 def answer_tokens(c: Column) -> Column:
-    """Lower-case words without ASCII punctuation and articles."""
+    """Lower-case words without ASCII punctuation and without articles. An article also ends at a sign that is no letter or digit
+    (a typographic quote, a dash), which stays; so the words are cut once more."""
     plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION, "")
-    return F.filter(words(plain), lambda w: ~w.isin(*ARTICLES))
+    return words(F.regexp_replace(plain, rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(ARTICLES)})(?![\p{{L}}\p{{N}}])", " "))
 
 
 def answer_text(c: Column) -> Column:
@@ -121,11 +122,10 @@ def token_f1(prediction: Column, gold: Column, empty_equal: bool = False) -> Col
 
 
 def parsed_grade(c: Column, marker: str = "[RESULT]") -> Column:
-    """The integer 1..5 after the last marker, else null."""
+    """The first number after the last marker if it is an integer 1..5, else null. A dot before a number is no part of it."""
     tail = F.when(F.contains(c, F.lit(marker)), F.substring_index(c, marker, -1))
-    number = F.regexp_extract(tail, r"([-+]?[0-9]*\.?[0-9]+)", 1)
-    grade = F.when(number.rlike(r"^\+?[0-9]{1,9}$"), number.try_cast("int"))
-    return F.when(grade.between(1, 5), grade)
+    number = F.regexp_extract(tail, r"([-+]?[0-9]+(?:\.[0-9]+)?)", 1)
+    return F.when(number.rlike(r"^\+?0*[1-5]$"), F.right(number, F.lit(1)).cast("int"))
 
 
 def first_third(c: Column) -> Column:

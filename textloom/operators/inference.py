@@ -37,18 +37,28 @@ def arithmetic_index(b: Column, j: Column, n: Column | int, seed: int = SEED) ->
     return ((x * 48271) % 2147483647 * 16807) % 2147483647 % n
 
 
+def arithmetic_draws(keys: DataFrame, resamples: int, seed: int = SEED) -> DataFrame:
+    """(b, key_pos, w = 1): the draws of resamples by ``arithmetic_index`` over key positions 0..n-1 (a column key_pos of all keys)."""
+    n = keys.count()
+    draws = keys.select(F.col("key_pos").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
+    return draws.select("b", arithmetic_index(F.col("b"), F.col("j"), F.lit(n), seed).alias("key_pos"), F.lit(1).cast("long").alias("w"))
+
+
 def arithmetic_resamples(keys: DataFrame, resamples: int, seed: int = SEED) -> DataFrame:
-    """Resamples by ``arithmetic_index`` over key positions 0..n-1 (a column key_pos of all keys)."""
-    n = keys.agg(F.count("*").alias("n"))
-    draws = keys.select(F.col("key_pos").alias("j")).crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))  # n is one row
-    return draws.groupBy("b", arithmetic_index(F.col("b"), F.col("j"), F.col("n"), seed).alias("key_pos")).agg(F.count("*").alias("w"))
+    """The draws counted: one row for each key of a resample."""
+    return arithmetic_draws(keys, resamples, seed).groupBy("b", "key_pos").agg(F.sum("w").alias("w"))
 
 
-def ratio_estimates(values: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
-    """(keys, b, estimate): sum(w m x) / sum(w m) of each resample; null where nothing is left."""
-    joined = values.join(weights, "key_pos")
+def ratio_estimates(values: DataFrame, weights: DataFrame, *keys: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(keys, b, estimate): sum(w m x) / sum(w m) of each resample; null where nothing is left. Weights of one key may come in parts
+    (draws), which add up. Up to ``broadcast_rows`` values are sent to all executors, so that resamples are summed where they
+    are drawn."""
     m = F.coalesce(F.col("mask"), F.lit(1)) if "mask" in values.columns else F.lit(1)
-    return joined.groupBy(*keys, "b").agg(F.try_divide(F.sum(F.col("w") * m * F.coalesce("value", F.lit(0.0))), F.sum(F.col("w") * m).cast("double")).alias("estimate"))
+    slim = values.select(*keys, "key_pos", m.alias("m"), (m * F.coalesce("value", F.lit(0.0))).alias("mx"))
+    if slim.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        slim = F.broadcast(slim)
+    joined = weights.join(slim, "key_pos")
+    return joined.groupBy(*keys, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("mx")), F.sum(F.col("w") * F.col("m")).cast("double")).alias("estimate"))
 
 
 def point_estimates(values: DataFrame, *keys: str) -> DataFrame:

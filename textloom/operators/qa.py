@@ -37,7 +37,7 @@ class FilterConfig:
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Rows (person_id, chunk_id, position, question, ...) of generator responses (person_id, chunk_id, qa_cap, response JSON).
 
-    More items than the cap, or text that is no such JSON, is a failed chunk (``chunk_failures``) and gives no rows.
+    More items than the cap, fields that the schema does not have, or text that is no such JSON, is a failed chunk (``chunk_failures``) and gives no rows.
     """
     ok = _parsed(responses).filter("failure is null")
     return ok.select("person_id", "chunk_id", F.posexplode("r.qas").alias("position", "q")).select("person_id", "chunk_id", "position", "q.*")
@@ -49,7 +49,10 @@ def chunk_failures(responses: DataFrame) -> DataFrame:
 
 def _parsed(responses: DataFrame) -> DataFrame:
     r = F.from_json("response", RESPONSE)
-    failure = F.when(F.col("r.qas").isNull(), "invalid response").when(F.size("r.qas") > F.col("qa_cap"), "too many items")
+    fields = F.array(*[F.lit(f.name) for f in CANDIDATE])
+    items = F.from_json(F.get_json_object("response", "$.qas"), T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    unknown = F.exists(items, lambda m: F.size(F.array_except(F.map_keys(m), fields)) > 0) | (F.size(F.array_except(F.json_object_keys("response"), F.array(F.lit("qas")))) > 0)
+    failure = F.when(F.col("r.qas").isNull(), "invalid response").when(F.coalesce(unknown, F.lit(False)), "unknown fields").when(F.size("r.qas") > F.col("qa_cap"), "too many items")
     return responses.withColumn("r", r).withColumn("failure", failure)
 
 

@@ -22,11 +22,10 @@ def postings(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return terms, lengths
 
 
-def bm25_scores(questions: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(question_id, index_id, doc_id, score) for every document of each question's index.
+def bm25_hits(questions: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """((question_id, index_id, doc_id, score) of documents that share a term with the question, (index_id, doc_id) of all).
 
-    Okapi BM25; a negative idf becomes epsilon times the index's mean idf. Query repeats count, unknown terms add nothing, an
-    index without any token scores 0.
+    Okapi BM25; a negative idf becomes epsilon times the index's mean idf. Query repeats count, unknown terms add nothing.
     """
     terms, lengths = postings(documents)
     df = terms.groupBy("index_id", "term").agg(F.count("*").alias("df"))
@@ -37,9 +36,30 @@ def bm25_scores(questions: DataFrame, documents: DataFrame, k1: float = 1.5, b:
     query = questions.select("question_id", "index_id", F.explode(retrieval_tokens(F.col("text"))).alias("term")).groupBy("question_id", "index_id", "term").agg(F.count("*").alias("qf"))
     hits = query.join(idf, ["index_id", "term"]).join(terms, ["index_id", "term"]).join(lengths, ["index_id", "doc_id"])
     gain = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("question_id", "index_id", "doc_id").agg(F.sum(gain).alias("score"))
-    every = questions.select("question_id", "index_id").join(lengths.select("index_id", "doc_id"), "index_id")
-    return every.join(scored, ["question_id", "index_id", "doc_id"], "left").select("question_id", "index_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return hits.groupBy("question_id", "index_id", "doc_id").agg(F.sum(gain).alias("score")), lengths.select("index_id", "doc_id")
+
+
+def _with_zeros(questions: DataFrame, hits: DataFrame, documents: DataFrame) -> DataFrame:
+    every = questions.select("question_id", "index_id").join(documents, "index_id")
+    return every.join(hits, ["question_id", "index_id", "doc_id"], "left").select("question_id", "index_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def bm25_scores(questions: DataFrame, documents: DataFrame, **parameters: float) -> DataFrame:
+    """(question_id, index_id, doc_id, score) for every document of each question's index; an index without any token scores 0."""
+    hits, every = bm25_hits(questions, documents, **parameters)
+    return _with_zeros(questions, hits, every)
+
+
+def bm25_top(questions: DataFrame, documents: DataFrame, k: int, digits: int | None = None, **parameters: float) -> DataFrame:
+    """The first k ranks of ``bm25_scores``: of the hits alone where k of them have a score above 0, else of all documents."""
+    hits, every = bm25_hits(questions, documents, **parameters)
+    first = top_k(ranked(hits.filter((F.col("score") if digits is None else F.round("score", digits)) > 0), digits), k)
+    counted = first.withColumn("n", F.count("*").over(Window.partitionBy("question_id", "index_id")))
+    full = counted.filter(F.col("n") == k).drop("n")
+    short = questions.join(full.select("question_id", "index_id").distinct(), ["question_id", "index_id"], "left_anti")
+    keys = short.select("question_id", "index_id")
+    rest = top_k(ranked(_with_zeros(keys, hits.join(keys, ["question_id", "index_id"], "left_semi"), every), digits), k)
+    return full.unionByName(rest)
 
 
 def ranked(scores: DataFrame, digits: int | None = None, *ties: str) -> DataFrame:
@@ -68,12 +88,22 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
 
 
-def dense_scores(questions: DataFrame, documents: DataFrame, cosine: bool = False) -> DataFrame:
-    """Dot products (or cosines) of the questions' vectors (question_id, index_id, vector) with those of their index."""
+def dense_scores(questions: DataFrame, documents: DataFrame, cosine: bool = False, broadcast_questions: int = 20_000, spread: int = 64) -> DataFrame:
+    """Dot products (or cosines) of the questions' vectors (question_id, index_id, vector) with those of their index.
+
+    Up to ``broadcast_questions`` questions are sent to all executors and the documents stay where they are; beyond, the questions
+    are copied to ``spread`` keys of each index, over which its documents are dealt.
+    """
     if cosine:
         questions, documents = (x.withColumn("vector", normalised(F.col("vector"))) for x in (questions, documents))
-    pairs = questions.withColumnRenamed("vector", "q").join(documents.withColumnRenamed("vector", "d"), "index_id")
-    return pairs.select("question_id", "index_id", "doc_id", dot(F.col("q"), F.col("d")).alias("score"))
+    q, d, keys = questions.withColumnRenamed("vector", "q"), documents.withColumnRenamed("vector", "d"), ["index_id"]
+    if questions.limit(broadcast_questions + 1).count() <= broadcast_questions:
+        q = F.broadcast(q)
+    else:
+        keys = ["index_id", "part"]
+        q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        d = d.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int"))
+    return d.join(q, keys).select("question_id", "index_id", "doc_id", dot(F.col("q"), F.col("d")).alias("score"))
 
 
 def restricted(scores: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -144,3 +144,20 @@ def token_batches(lengths: list[int], max_tokens: int, max_rows: int) -> Iterato
         batch.append(k)
     if batch:
         yield batch
+
+
+def dealt_batches(rows: DataFrame, max_tokens: int, max_rows: int) -> DataFrame:
+    """(shard, id, batch): ``token_batches`` of each shard's rows (shard, id, n_tokens), ids breaking ties. A shard is what one worker
+    reads, so its list of lengths fits a task."""
+    import pandas as pd
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        batch = [0] * len(rows)
+        for number, places in enumerate(token_batches(rows["n_tokens"].tolist(), max_tokens, max_rows)):
+            for k in places:
+                batch[k] = number
+        return rows.assign(batch=batch)[["shard", "id", "batch"]]
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("shard", "id")}
+    return rows.select("shard", "id", "n_tokens").groupBy("shard").applyInPandas(deal, f"shard {kinds['shard']}, id {kinds['id']}, batch long")

@@ -25,23 +25,39 @@ def em_f1(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.answer_scores(s.answer_pairs(spark, sf)).select("conv_id", "turn", "em", F.round("f1", 9).alias("f1"), "n_words_pred", "empty_prediction")
 
 
+_SIGNED = f"signed AS (SELECT conv_id, turn, '“The ' || coalesce(answer, '') || '” rose—a’s an… ' || 'the_a' AS answer, 'THE “a”—' || prediction || ' the' AS prediction FROM pairs)"
+
+
+@query("em_f1_signs", f"WITH {s.PAIRS}, {_SIGNED}, {_TOK.replace('FROM pairs', 'FROM signed')}, {_F1} SELECT conv_id, turn, md5(array_to_string(g, ' ')) AS answer_md5, CAST(array_to_string(p, ' ') = array_to_string(g, ' ') AS DOUBLE) AS em, round({_SCORE}, 9) AS f1 FROM f")
+def em_f1_signs(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers between typographic quotes and dashes, where articles are no white-space words."""
+    p = s.answer_pairs(spark, sf)
+    p = p.withColumn("answer", F.concat(F.lit("“The "), "answer", F.lit("” rose—a’s an… the_a"))).withColumn("prediction", F.concat(F.lit("THE “a”—"), "prediction", F.lit(" the")))
+    scored = scoring.answer_scores(p)
+    return scored.select("conv_id", "turn", F.md5(text.answer_text(F.col("answer"))).alias("answer_md5"), "em", F.round("f1", 9).alias("f1"))
+
+
 @query("em_f1_step3", f"WITH {s.PAIRS}, {_TOK}, {_F1} SELECT conv_id, turn, CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) ELSE round({_SCORE}, 9) END AS f1 FROM f")
 def em_f1_step3(spark: SparkSession, sf: str) -> DataFrame:
     return s.answer_pairs(spark, sf).select("conv_id", "turn", F.round(text.token_f1(F.col("prediction"), F.col("answer"), empty_equal=True), 9).alias("f1"))
 
 
+#: What a judge wrote, by conv_id mod 10; {} is a number.
+_WRITTEN = [
+    "Feedback [RESULT] {}", "[RESULT] 2 [RESULT] {}", "no result {}", "[RESULT] 3.5 {}", "[RESULT] +{}", "[RESULT] -{}", "[RESULT]", "[RESULT] .{}", "[RESULT] Score.{}", "so [RESULT] ...{}.",
+]
+
+
 def _outputs(spark: SparkSession, sf: str) -> DataFrame:
     c = s.table(spark, sf, "conversations")
-    k, n = F.col("conv_id") % 7, (F.length("text") % 7).cast("string")
-    first = (
-        F.when(k == 0, F.concat(F.lit("Feedback [RESULT] "), n)).when(k == 1, F.concat(F.lit("[RESULT] 2 [RESULT] "), n)).when(k == 2, F.concat(F.lit("no result "), n))
-        .when(k == 3, F.concat(F.lit("[RESULT] 3.5 "), n)).when(k == 4, F.concat(F.lit("[RESULT] +"), n)).when(k == 5, F.concat(F.lit("[RESULT] -"), n)).otherwise("[RESULT]"))
+    form = F.element_at(F.array(*map(F.lit, _WRITTEN)), (F.col("conv_id") % 10 + 1).cast("int"))
+    first = F.replace(form, F.lit("{}"), (F.length("text") % 7).cast("string"))
     return c.select("conv_id", "turn", "role", first.alias("first_text"), F.concat(F.lit("again [RESULT] "), (F.length("text") % 9).cast("string")).alias("retry_text"))
 
 
-_OUT = """o AS (SELECT conv_id, turn, role, CASE conv_id % 7 WHEN 0 THEN 'Feedback [RESULT] ' || n WHEN 1 THEN '[RESULT] 2 [RESULT] ' || n WHEN 2 THEN 'no result ' || n WHEN 3 THEN '[RESULT] 3.5 ' || n WHEN 4 THEN '[RESULT] +' || n WHEN 5 THEN '[RESULT] -' || n ELSE '[RESULT]' END AS a, 'again [RESULT] ' || (length(text) % 9) AS b FROM (SELECT *, length(text) % 7 AS n FROM conversations)),
-x AS (SELECT *, CASE WHEN contains(a, '[RESULT]') THEN regexp_extract(string_split(a, '[RESULT]')[-1], '([-+]?[0-9]*\\.?[0-9]+)', 1) END AS na, regexp_extract(string_split(b, '[RESULT]')[-1], '([-+]?[0-9]*\\.?[0-9]+)', 1) AS nb FROM o),
-y AS (SELECT *, CASE WHEN regexp_matches(na, '^\\+?[0-9]+$') AND CAST(na AS INT) BETWEEN 1 AND 5 THEN CAST(na AS INT) END AS ga, CASE WHEN regexp_matches(nb, '^\\+?[0-9]+$') AND CAST(nb AS INT) BETWEEN 1 AND 5 THEN CAST(nb AS INT) END AS gb FROM x),
+_OUT = f"""o AS (SELECT conv_id, turn, role, replace(list_extract({_WRITTEN}, conv_id % 10 + 1), '{{}}', (length(text) % 7)::VARCHAR) AS a, 'again [RESULT] ' || (length(text) % 9) AS b FROM conversations),
+x AS (SELECT *, CASE WHEN contains(a, '[RESULT]') THEN regexp_extract_all(string_split(a, '[RESULT]')[-1], '[+-]?[0-9]+(?:[.][0-9]+)?')[1] END AS na, regexp_extract_all(string_split(b, '[RESULT]')[-1], '[+-]?[0-9]+(?:[.][0-9]+)?')[1] AS nb FROM o),
+y AS (SELECT *, CASE WHEN NOT contains(na, '.') AND TRY_CAST(na AS BIGINT) BETWEEN 1 AND 5 THEN CAST(na AS INT) END AS ga, CASE WHEN NOT contains(nb, '.') AND TRY_CAST(nb AS BIGINT) BETWEEN 1 AND 5 THEN CAST(nb AS INT) END AS gb FROM x),
 graded AS (SELECT *, coalesce(ga, gb, 1) AS score, ga IS NULL AS invalid_first, ga IS NULL AND gb IS NULL AS invalid_final FROM y)"""
 
 
@@ -79,13 +95,13 @@ def probe_texts(spark: SparkSession, sf: str) -> DataFrame:
     return s.answer_pairs(spark, sf).select("conv_id", "turn", text.first_third(F.col("answer")).alias("probe"))
 
 
-@query("vector_match", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), a AS (SELECT vec_id % 40 AS k, vec_id, v FROM e WHERE vec_id < 120), b AS (SELECT vec_id % 40 AS k, vec_id, v FROM e WHERE vec_id >= 120 AND vec_id < 240),
+@query("vector_match", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), a AS (SELECT vec_id // 6 AS k, vec_id, v FROM e WHERE vec_id % 2 = 0), b AS (SELECT vec_id // 6 AS k, vec_id, v FROM e WHERE vec_id % 2 = 1),
 c AS (SELECT k, a.vec_id AS x, b.vec_id AS y, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS s FROM a JOIN b USING (k)),
 p AS (SELECT k, avg(m) AS p FROM (SELECT k, x, max(s) AS m FROM c GROUP BY 1, 2) GROUP BY 1), r AS (SELECT k, avg(m) AS r FROM (SELECT k, y, max(s) AS m FROM c GROUP BY 1, 2) GROUP BY 1)
 SELECT k, round(p, 6) AS p, round(r, 6) AS r, round(2 * p * r / (p + r), 5) AS f FROM p JOIN r USING (k)""")
 def vector_match(spark: SparkSession, sf: str) -> DataFrame:
-    e = s.table(spark, sf, "embeddings").withColumn("k", F.col("vec_id") % 40)
-    a = e.filter("vec_id < 120").groupBy("k").agg(F.collect_list("embedding").alias("a"))
-    b = e.filter("vec_id >= 120 and vec_id < 240").groupBy("k").agg(F.collect_list("embedding").alias("b"))
+    """Six consecutive vectors are the tokens of two texts: the even ids of one, the odd ids of the other."""
+    e = s.table(spark, sf, "embeddings").withColumn("k", F.floor(F.col("vec_id") / 6))
+    a, b = (e.filter(F.col("vec_id") % 2 == odd).groupBy("k").agg(F.collect_list("embedding").alias(name)) for odd, name in ((0, "a"), (1, "b")))
     m = a.join(b, "k").withColumn("m", scoring.vector_match(F.col("a"), F.col("b")))
     return m.select("k", F.round("m.p", 6).alias("p"), F.round("m.r", 6).alias("r"), F.round("m.f", 5).alias("f"))

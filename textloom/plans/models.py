@@ -33,7 +33,7 @@ def recorded_responses(prompts: DataFrame, records: DataFrame) -> DataFrame:
 
 def hashed_encoder(rows: DataFrame, tokens, size: int = 64) -> DataFrame:
     """A native stand-in encoder: token counts hashed to ``size`` dimensions. Adds vector array<double>."""
-    at = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
+    at = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size).cast("int"))
     return rows.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double")))
 
 

@@ -36,6 +36,10 @@ def _bm25_window(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.ranked(retrieval.bm25_scores(s.questions(spark, sf), s.windowed_documents(spark, sf)), 8)
 
 
+def _bm25_top(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return retrieval.bm25_top(s.questions(spark, sf), s.ranked_documents(spark, sf), k, 8)
+
+
 @query("bm25_full", f"WITH {s.DOCS}, {s.QUESTIONS}, {_BM25} {_RANKED} bm25")
 def bm25_full(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked_output(_bm25(spark, sf))
@@ -48,12 +52,12 @@ def bm25_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_topk", f"WITH {s.DOCS}, {s.QUESTIONS}, {_BM25} {_RANKED} bm25 WHERE rank <= 5")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked_output(retrieval.top_k(_bm25(spark, sf), 5))
+    return _ranked_output(_bm25_top(spark, sf, 5))
 
 
 @query("topk_chronological", f"WITH {s.DOCS}, {s.QUESTIONS}, {_BM25} SELECT question_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS doc_ids FROM bm25 WHERE rank <= 5 GROUP BY 1")
 def topk_chronological(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.selected_documents(_bm25(spark, sf), 5).select("question_id", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
+    return retrieval.selected_documents(_bm25_top(spark, sf, 5), 5).select("question_id", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,11 +119,17 @@ def ranking_invariants_broken(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.ranking_checks(retrieval.ranked(scores).filter("doc_id % 10 != 3"), candidates)
 
 
-@query("window_order", "SELECT CAST(NULL AS BIGINT) AS question_id, CAST(NULL AS VARCHAR) AS index_id, CAST(NULL AS BIGINT) AS doc_id WHERE false")
+@query("window_order", f"""WITH {s.DENSE}, win AS (SELECT question_id, index_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, doc_id) AS w FROM scores WHERE doc_id % 3 = 0),
+moved AS (SELECT question_id, index_id, doc_id, CASE WHEN w % 50 = 7 THEN w + 1 WHEN w % 50 = 8 THEN w - 1 ELSE w END AS w FROM win)
+SELECT question_id, index_id, doc_id FROM (SELECT m.*, d.rank AS f, lag(d.rank) OVER (PARTITION BY m.question_id ORDER BY m.w) AS before FROM moved m JOIN dense d USING (question_id, doc_id)) WHERE before > f""")
 def window_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A window ranking with two neighbours in fifty exchanged, against the full ranking."""
     q, d, _ = s.dense_inputs(spark, sf)
     full = retrieval.dense_scores(q, d).withColumn("score", F.round("score", 6))
-    return retrieval.window_order_checks(retrieval.ranked(full.filter("doc_id % 3 = 0")), retrieval.ranked(full)).select("question_id", "index_id", "doc_id")
+    window = retrieval.ranked(full.filter("doc_id % 3 = 0"))
+    r = F.col("rank")
+    moved = window.withColumn("rank", F.when(r % 50 == 7, r + 1).when(r % 50 == 8, r - 1).otherwise(r))
+    return retrieval.window_order_checks(moved, retrieval.ranked(full)).select("question_id", "index_id", "doc_id")
 
 
 @query("ranking_header", f"""WITH {s.DENSE}, g AS (SELECT question_id, count(DISTINCT doc_id) AS n_gold FROM gold GROUP BY 1)
@@ -215,7 +225,7 @@ def _timeline_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _contexts(spark: SparkSession, sf: str, budget: int, tokenizer: context.Tokenizer = context.CHAR) -> DataFrame:
     v = _timeline_documents(spark, sf)
-    top = retrieval.top_k(_bm25(spark, sf), 5).select(F.col("question_id").alias("key"), F.col("index_id").alias("person_id"), "doc_id")
+    top = _bm25_top(spark, sf, 5).select(F.col("question_id").alias("key"), F.col("index_id").alias("person_id"), "doc_id")
     selection = top.join(v.select("person_id", "doc_id", "visit_index"), ["person_id", "doc_id"]).drop("doc_id")
     return context.build_contexts(selection, v.drop("doc_id"), budget, tokenizer)
 

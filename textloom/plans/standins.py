@@ -43,8 +43,10 @@ def sql_evidence(x: str) -> str:
 
 
 def sql_answer(x: str) -> str:
-    words = sql_words(f"regexp_replace(lower(coalesce({x}, '')), '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', '', 'g')")
-    return f"list_filter({words}, lambda t: t NOT IN ('a', 'an', 'the'))"
+    """Runs of letters and digits and runs of other signs take turns; a run that is an article becomes a space."""
+    plain = f"regexp_replace(lower(coalesce({x}, '')), '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', '', 'g')"
+    runs = f"regexp_extract_all({plain}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')"
+    return sql_words(f"array_to_string(list_transform({runs}, lambda r: CASE WHEN r IN ('a', 'an', 'the') THEN ' ' ELSE r END), '')")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -128,16 +130,16 @@ WINDOW_DOCS = """docs AS (SELECT index_id, doc_id, text FROM (SELECT source AS i
 
 
 def dense_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(questions, documents, gold) of the embeddings: five indexes by id; the first ten vectors of an index ask; gold has the
-    question's label and is another vector."""
-    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 5).cast("string").alias("index_id"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    q = e.filter("doc_id < 50").select(F.col("doc_id").alias("question_id"), "index_id", "vector", "label")
+    """(questions, documents, gold) of the embeddings: one index of all; every vector whose id is divisible by 100 asks; gold has
+    the question's label and is another vector."""
+    e = table(spark, sf, "embeddings").select(F.lit("all").alias("index_id"), F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    q = e.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), "index_id", "vector", "label")
     gold = q.select("question_id", "index_id", "label").join(e.select("index_id", "doc_id", "label"), ["index_id", "label"]).filter("question_id != doc_id").select("question_id", "index_id", "doc_id")
     return q.drop("label"), e.drop("label"), gold
 
 
-DENSE = """vectors AS (SELECT CAST(vec_id % 5 AS VARCHAR) AS index_id, vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-q AS (SELECT doc_id AS question_id, index_id, v, label FROM vectors WHERE doc_id < 50),
+DENSE = """vectors AS (SELECT 'all' AS index_id, vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+q AS (SELECT doc_id AS question_id, index_id, v, label FROM vectors WHERE doc_id % 100 = 0),
 gold AS (SELECT q.question_id, q.index_id, d.doc_id FROM q JOIN vectors d USING (index_id, label) WHERE q.question_id <> d.doc_id),
 scores AS (SELECT q.question_id, q.index_id, d.doc_id, list_dot_product(q.v, d.v) AS score, list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)) AS cosine FROM q JOIN vectors d USING (index_id)),
 dense AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores)"""
@@ -163,7 +165,7 @@ def run_values(spark: SparkSession, sf: str) -> DataFrame:
 
     e = table(spark, sf, "events").filter(F.col("event_type").isNotNull())
     ranked = e.withColumn("key_pos", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1)
-    return ranked.filter("key_pos < 200").select(F.col("event_type").alias("run"), F.col("key_pos").cast("long").alias("key_pos"), (F.col("value") > 10).cast("double").alias("value"), (F.col("event_id") % 5 != 0).cast("int").alias("mask"))
+    return ranked.select(F.col("event_type").alias("run"), F.col("key_pos").cast("long").alias("key_pos"), (F.col("value") > 10).cast("double").alias("value"), (F.col("event_id") % 5 != 0).cast("int").alias("mask"))
 
 
-RUN_VALUES = """runs AS (SELECT * FROM (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS key_pos, CAST(value > 10 AS DOUBLE) AS value, CAST(event_id % 5 <> 0 AS INTEGER) AS mask FROM events WHERE event_type IS NOT NULL) WHERE key_pos < 200)"""
+RUN_VALUES = """runs AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS key_pos, CAST(value > 10 AS DOUBLE) AS value, CAST(event_id % 5 <> 0 AS INTEGER) AS mask FROM events WHERE event_type IS NOT NULL)"""

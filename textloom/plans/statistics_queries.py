@@ -9,7 +9,7 @@ from ..operators import inference, metrics, sampling, scoring
 from . import standins as s
 from .registration import query
 
-RESAMPLES = 50
+RESAMPLES = 1000
 _DRAWS = f"""keys AS (SELECT DISTINCT key_pos FROM runs), n AS (SELECT count(*) AS n FROM keys),
 w AS (SELECT b, (((b * 7919 + key_pos * 104729 + 42) % 2147483647 * 48271) % 2147483647 * 16807) % 2147483647 % n AS key_pos, count(*) AS w FROM keys, n, range(0, {RESAMPLES}) r(b) GROUP BY ALL)"""
 _EST = """est AS (SELECT run, b, sum(w * mask * value) / nullif(sum(w * mask), 0)::DOUBLE AS estimate FROM runs JOIN w USING (key_pos) GROUP BY ALL)"""
@@ -18,12 +18,12 @@ _CI = "round(quantile_cont(estimate, 0.025), 9) AS low, round(quantile_cont(esti
 
 def _draws(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v = s.run_values(spark, sf)
-    return v, inference.arithmetic_resamples(v.select("key_pos").distinct(), RESAMPLES)
+    return v, inference.arithmetic_draws(v.select("key_pos").distinct(), RESAMPLES)
 
 
 @query("bootstrap_counts", f"WITH {s.RUN_VALUES}, {_DRAWS} SELECT b, key_pos, w FROM w")
 def bootstrap_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _draws(spark, sf)[1]
+    return inference.arithmetic_resamples(s.run_values(spark, sf).select("key_pos").distinct(), RESAMPLES)
 
 
 @query("bootstrap_intervals", f"WITH {s.RUN_VALUES}, {_DRAWS}, {_EST}, p AS (SELECT run, sum(mask * value) / sum(mask)::DOUBLE AS point, CAST(sum(mask) AS BIGINT) AS n FROM runs GROUP BY 1) SELECT run, round(any_value(point), 9) AS estimate, any_value(n) AS n, {_CI} FROM est JOIN p USING (run) GROUP BY run")
@@ -216,7 +216,10 @@ def semi_resume(spark: SparkSession, sf: str) -> DataFrame:
     return e.filter("event_type is not null").join(done, "user_id", "left_anti").select("event_id")
 
 
-@query("balanced_shards")
+@query("balanced_shards", """WITH RECURSIVE w AS (SELECT source AS id, sum(n_chars) AS w FROM documents GROUP BY 1), o AS (SELECT id, w, row_number() OVER (ORDER BY w DESC, id) AS k FROM w),
+g(k, id, a, b, c, d, shard) AS (SELECT 0, NULL::VARCHAR, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, NULL::BIGINT UNION ALL
+SELECT o.k, o.id, CASE t WHEN 0 THEN a + w ELSE a END, CASE t WHEN 1 THEN b + w ELSE b END, CASE t WHEN 2 THEN c + w ELSE c END, CASE t WHEN 3 THEN d + w ELSE d END, t
+FROM (SELECT *, CASE WHEN a <= least(b, c, d) THEN 0 WHEN b <= least(c, d) THEN 1 WHEN c <= d THEN 2 ELSE 3 END::BIGINT AS t FROM g) x JOIN o ON o.k = x.k + 1) SELECT id, shard FROM g WHERE k > 0""")
 def balanced_shards(spark: SparkSession, sf: str) -> DataFrame:
     w = s.table(spark, sf, "documents").groupBy(F.col("source").alias("id")).agg(F.sum("n_chars").alias("weight"))
     return sampling.balanced_shards(w, 4)
@@ -225,4 +228,4 @@ def balanced_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query("numpy_bootstrap")
 def numpy_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     v = s.run_values(spark, sf)
-    return inference.bootstrap_intervals(v, inference.numpy_resamples(spark, 200, 100), "run").select("run", F.round("estimate", 9).alias("estimate"), "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return inference.bootstrap_intervals(v, inference.numpy_resamples(spark, v.select("key_pos").distinct().count(), RESAMPLES), "run").select("run", F.round("estimate", 9).alias("estimate"), "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))

@@ -194,27 +194,31 @@ def anti_batch(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.next_batch(persons, done, 20).select("person_id")
 
 
-# Evidence: benchmark items quoted from the documents that contain them; snippets are cut in fixed ways.
+# Evidence: quotations of the documents, cut in fixed ways.
 
 def _quoted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(evidence, visits): for each item and document of its residue class mod 25, the item (whole or with its middle left out) as
-    snippet; all documents of a class share a time."""
-    docs = s.table(spark, sf, "documents").select((F.col("doc_id") % 25).alias("person_id"), (F.col("doc_id") % 25).cast("string").alias("visit_datetime"), F.col("doc_id").alias("visit_index"), "text")
-    items = s.table(spark, sf, "benchmark")
-    n = F.length("text")
-    cut = F.concat(F.substring("text", F.lit(1), F.floor(n / 3).cast("int")), F.lit(" ... "), F.substring("text", F.floor(n / 2).cast("int"), n.cast("int")))
-    snippet = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, cut).otherwise(F.concat(F.lit('"'), F.col("text"), F.lit('"')))
-    people = docs.select("person_id").distinct()
-    ev = items.select("item_id", snippet.alias("evidence_snippet")).join(people, F.lit(True))  # every question is put to every person
-    ev = ev.select((F.col("item_id") * 100 + F.col("person_id")).alias("evidence_id"), "person_id", F.col("item_id").alias("qa_index"), F.when(F.col("person_id") == 24, "none").otherwise(F.col("person_id").cast("string")).alias("visit_datetime"), F.when(F.col("item_id") % 2 == 0, F.col("person_id") + 25).alias("original_visit_index"), "evidence_snippet")
-    return ev, docs
+    """(evidence, visits): documents are visits of 25 persons, two successive ones of a person share a time. Each document gives one
+    quotation: a part of it, two parts with an ellipsis, a quoted part, half of it foreign, at a time without visits, or all foreign."""
+    d = s.table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    key = [(F.col("doc_id") % 25).alias("person_id"), F.floor(F.col("doc_id") / 50).cast("string").alias("visit_datetime")]
+    visits = d.select(*key, F.floor(F.col("doc_id") / 25).alias("visit_index"), "text")
+    n, k, t, own = F.length("text"), F.col("doc_id") % 6, F.col("text"), F.floor(F.col("doc_id") / 25)
+    part = lambda at, size: F.substring(t, (F.floor(at) + 1).cast("int"), F.lit(size))
+    snippet = (
+        F.when(k.isin(0, 4), part(n / 3, 80)).when(k == 1, F.concat(part(F.lit(0), 60), F.lit(" ... "), part(n / 2, 60)))
+        .when(k == 2, F.concat(F.lit('"'), part(n / 4, 50), F.lit('"'))).when(k == 3, F.concat(part(F.lit(0), 40), F.lit(" … not in any text at all"))).otherwise("not in any text at all"))
+    index = F.when(k == 1, F.lit(None)).when(k == 2, own.bitwiseXOR(F.lit(1).cast("long"))).otherwise(own)
+    evidence_ = d.select(F.col("doc_id").alias("evidence_id"), key[0], F.floor(F.col("doc_id") / 100).alias("qa_index"), F.when(k == 4, "none").otherwise(key[1]).alias("visit_datetime"), index.alias("original_visit_index"), snippet.alias("evidence_snippet"))
+    return evidence_, visits
 
 
 _SEGMENTS = f"list_filter(list_transform(regexp_split_to_array(sn, '{text.SNIPPET_GAP}'), lambda p: regexp_replace({s.sql_evidence('p')}, '^\"+|\"+$', '', 'g')), lambda p: length(p) >= 6)"
-_QUOTED = f"""v AS (SELECT doc_id % 25 AS person_id, CAST(doc_id % 25 AS VARCHAR) AS visit_datetime, doc_id AS visit_index, {s.sql_evidence('text')} AS o FROM documents),
-i AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN substr(text, 1, length(text) // 3) || ' ... ' || substr(text, length(text) // 2, length(text)) ELSE '"' || text || '"' END AS evidence_snippet FROM benchmark),
-e AS (SELECT item_id * 100 + person_id AS evidence_id, person_id, item_id AS qa_index, CASE WHEN person_id = 24 THEN 'none' ELSE CAST(person_id AS VARCHAR) END AS visit_datetime, CASE WHEN item_id % 2 = 0 THEN person_id + 25 END AS original_visit_index, evidence_snippet,
- regexp_replace({s.sql_evidence('evidence_snippet')}, '^"+|"+$', '', 'g') AS sn FROM i, (SELECT DISTINCT doc_id % 25 AS person_id FROM documents)),
+_QUOTED = f"""t AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 6 AS k, length(coalesce(text, '')) AS n, doc_id // 25 AS own FROM documents),
+v AS (SELECT doc_id % 25 AS person_id, CAST(doc_id // 50 AS VARCHAR) AS visit_datetime, own AS visit_index, {s.sql_evidence('text')} AS o FROM t),
+i AS (SELECT *, CASE WHEN k IN (0, 4) THEN substr(text, n // 3 + 1, 80) WHEN k = 1 THEN substr(text, 1, 60) || ' ... ' || substr(text, n // 2 + 1, 60) WHEN k = 2 THEN '"' || substr(text, n // 4 + 1, 50) || '"'
+ WHEN k = 3 THEN substr(text, 1, 40) || ' … not in any text at all' ELSE 'not in any text at all' END AS evidence_snippet FROM t),
+e AS (SELECT doc_id AS evidence_id, doc_id % 25 AS person_id, doc_id // 100 AS qa_index, CASE WHEN k = 4 THEN 'none' ELSE CAST(doc_id // 50 AS VARCHAR) END AS visit_datetime,
+ CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN xor(own, 1) ELSE own END AS original_visit_index, evidence_snippet, regexp_replace({s.sql_evidence('evidence_snippet')}, '^"+|"+$', '', 'g') AS sn FROM i),
 parts AS (SELECT *, {_SEGMENTS} AS parts FROM e),
 m AS (SELECT p.*, v.visit_index AS c, v.o, sn <> '' AND contains(o, sn) AS exact, len(parts) AS n, len(list_filter(parts, lambda x: contains(o, x))) AS h FROM parts p JOIN v USING (person_id, visit_datetime)),
 d AS (SELECT *, exact OR (n > 0 AND h = n) AS ok, CASE WHEN sn = '' THEN 'empty_snippet' WHEN exact THEN 'exact_match' WHEN n = 0 THEN 'empty_or_too_short_after_split' WHEN h = n THEN 'ellipsis_segment_match_' || h || '_of_' || n ELSE 'partial_segment_match_' || h || '_of_' || n END AS detail FROM m),
@@ -239,11 +243,11 @@ def evidence_match_types(spark: SparkSession, sf: str) -> DataFrame:
     return _aligned(spark, sf).groupBy("match_type", "matched").agg(F.count("*").alias("n"))
 
 
-@query("evidence_flag", f"WITH {_QUOTED}, f AS (SELECT qa_index % 7 AS person_id, qa_index, bool_and(matched) AS m FROM checked WHERE qa_index % 5 <> 0 AND person_id < 3 GROUP BY ALL) SELECT item_id % 7 AS person_id, item_id AS qa_index, coalesce(m, false) AS evidence_match FROM benchmark LEFT JOIN f ON item_id = qa_index")
+@query("evidence_flag", f"WITH {_QUOTED}, f AS (SELECT person_id, qa_index, bool_and(matched) AS m FROM checked WHERE evidence_id % 100 < 75 GROUP BY ALL) SELECT person_id, qa_index, coalesce(m, false) AS evidence_match FROM (SELECT DISTINCT person_id, qa_index FROM checked) LEFT JOIN f USING (person_id, qa_index)")
 def evidence_flag(spark: SparkSession, sf: str) -> DataFrame:
-    q = s.table(spark, sf, "benchmark").select((F.col("item_id") % 7).alias("person_id"), F.col("item_id").alias("qa_index"))
-    c = _aligned(spark, sf).filter("qa_index % 5 != 0 and person_id < 3").withColumn("person_id", F.col("qa_index") % 7)
-    return evidence.flag_questions(q, c)
+    """Each person's questions; the last quotation of each is not checked, so that some questions have none."""
+    c = _aligned(spark, sf)
+    return evidence.flag_questions(c.select("person_id", "qa_index").distinct(), c.filter("evidence_id % 100 < 75"))
 
 
 @query("gold_visits", """SELECT o_custkey AS person_id, qa_index, string_agg(DISTINCT CAST(i AS VARCHAR), ',' ORDER BY CAST(i AS VARCHAR)) AS gold_ids FROM (
@@ -329,13 +333,14 @@ def qa_run_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return qa.run_statistics(*qa.person_records(unique, persons))
 
 
-@query("qa_normalize", """WITH e AS (SELECT user_id AS person_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, ts FROM events), q AS (SELECT * FROM e WHERE i < 3)
+@query("qa_normalize", """WITH e AS (SELECT user_id AS person_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, ts FROM events), q AS (SELECT * FROM e)
 SELECT person_id, event_id AS position, 'q' || event_id AS question, 'other' AS reasoning_type, 'medium' AS difficulty, CAST(2 AS BIGINT) AS n_evidence, CAST(i + 10 AS BIGINT) AS first_original FROM q""")
 def qa_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    e = s.table(spark, sf, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).filter("i < 3")
-    windows = e.select(F.col("user_id").alias("person_id"), F.lit(0).alias("chunk_id"), F.col("i").alias("visit_index"), (F.col("i") + 10).alias("original_visit_index"), F.col("ts").cast("timestamp").alias("visit_ts"))
+    e = s.table(spark, sf, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    chunk, place = F.floor(F.col("i") / 3).cast("int"), (F.col("i") % 3).cast("int")
+    windows = e.select(F.col("user_id").alias("person_id"), chunk.alias("chunk_id"), place.alias("visit_index"), (F.col("i") + 10).alias("original_visit_index"), F.col("ts").cast("timestamp").alias("visit_ts"))
     pick = lambda i, t: F.struct(i.cast("int").alias("visit_index"), F.lit(t).alias("evidence_snippet"))
-    ev = F.array(pick(F.col("i"), " a "), pick(F.col("i"), "a"), pick(F.col("i"), "b"), pick(F.lit(99), "c"), pick(F.lit(-1), "d"), pick(F.col("i"), "  "))
-    raw = e.select(F.col("user_id").alias("person_id"), F.lit(0).alias("chunk_id"), F.col("event_id").alias("position"), F.concat(F.lit(" q"), "event_id", F.lit(" ")).alias("question"), F.lit("a").alias("answer"), F.lit(None).cast("string").alias("reasoning_type"), F.lit(None).cast("string").alias("difficulty"), ev.alias("evidence"), F.lit(None).cast("boolean").alias("is_temporal"), F.lit(None).cast("string").alias("temporal_signal"))
+    ev = F.array(pick(place, " a "), pick(place, "a"), pick(place, "b"), pick(F.lit(99), "c"), pick(F.lit(-1), "d"), pick(place, "  "))
+    raw = e.select(F.col("user_id").alias("person_id"), chunk.alias("chunk_id"), F.col("event_id").alias("position"), F.concat(F.lit(" q"), "event_id", F.lit(" ")).alias("question"), F.lit("a").alias("answer"), F.lit(None).cast("string").alias("reasoning_type"), F.lit(None).cast("string").alias("difficulty"), ev.alias("evidence"), F.lit(None).cast("boolean").alias("is_temporal"), F.lit(None).cast("string").alias("temporal_signal"))
     out = qa.normalise_candidates(raw, windows)
     return out.select("person_id", "position", "question", "reasoning_type", "difficulty", F.size("evidence").cast("long").alias("n_evidence"), F.element_at("evidence", 1)["original_visit_index"].cast("long").alias("first_original"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import clean_for_exploration, word_count
 from ..operators.checks import IntegrityError, require_columns, require_unique, require_valid
 
 VISIT = T.StructType([T.StructField("visit_datetime", T.StringType()), T.StructField("text", T.StringType())])
@@ -58,13 +59,30 @@ def exploded_timelines(timelines: DataFrame) -> DataFrame:
     return rows.select("person_id", "visit_index", "v.visit_datetime", "v.text", "n_visits")
 
 
-def read_corpus(spark: SparkSession, path: str, persons: int | None = None, visits: int | None = None) -> DataFrame:
-    """Exploded timelines of a JSON-lines file, with optional count checks."""
+def require_file(spark: SparkSession, path: str, sha256: str | None = None, size: int | None = None) -> str:
+    """Raises unless the one file at ``path`` has the given digest and length."""
+    found = file_digests(spark, path).collect()
+    if len(found) != 1 or (size is not None and found[0]["length"] != size) or (sha256 is not None and found[0]["sha256"] != sha256):
+        raise IntegrityError(f"{path}: {[(r['length'], r['sha256']) for r in found]}; expected {size} bytes, sha256 {sha256}")
+    return path
+
+
+def require_counts(df: DataFrame, expected: dict[str, int | None], **counts: Column) -> DataFrame:
+    """Raises unless the aggregates have the expected values; those without one are not looked at."""
+    wanted = {k: v for k, v in expected.items() if v is not None}
+    if wanted:
+        found = df.agg(*[counts[k].alias(k) for k in wanted]).first().asDict()
+        if found != wanted:
+            raise IntegrityError(f"found {found}; expected {wanted}")
+    return df
+
+
+def read_corpus(spark: SparkSession, path: str, persons: int | None = None, visits: int | None = None, sha256: str | None = None, size: int | None = None) -> DataFrame:
+    """Exploded timelines of a JSON-lines file, with optional checks of its digest, length and counts."""
+    if sha256 or size is not None:
+        require_file(spark, path, sha256, size)
     corpus = exploded_timelines(read_json_lines(spark, path, TIMELINE))
-    found = corpus.agg(F.countDistinct("person_id").alias("p"), F.count("*").alias("v")).first()
-    if (persons is not None and found["p"] != persons) or (visits is not None and found["v"] != visits):
-        raise IntegrityError(f"{found['p']} persons and {found['v']} visits; expected {persons} and {visits}")
-    return corpus
+    return require_counts(corpus, {"persons": persons, "visits": visits}, persons=F.countDistinct("person_id"), visits=F.count("*"))
 
 
 def parsed_evidence(df: DataFrame, column: str = "evidence") -> DataFrame:
@@ -76,13 +94,34 @@ def parsed_evidence(df: DataFrame, column: str = "evidence") -> DataFrame:
     return df.withColumn(column, parsed)
 
 
-def read_dataset(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """Flat questions with parsed evidence; (person_id, qa_index) must be unique."""
+def read_dataset(spark: SparkSession, path: str, rows: int | None = None, persons: int | None = None, evidence_items: int | None = None, sha256: str | None = None) -> DataFrame:
+    """Flat questions with parsed evidence; (person_id, qa_index) must be unique, digest and counts as stated."""
+    if sha256:
+        require_file(spark, path, sha256)
     df = read_csv(spark, path, ["person_id", "qa_index", "question", "answer", "evidence"])
     df = parsed_evidence(df.withColumn("person_id", F.col("person_id").cast("long")).withColumn("qa_index", F.col("qa_index").cast("long")))
     require_unique(df, ["person_id", "qa_index"])
-    if rows is not None and (n := df.count()) != rows:
-        raise IntegrityError(f"{n} rows, expected {rows}")
+    return require_counts(df, {"rows": rows, "persons": persons, "evidence_items": evidence_items}, rows=F.count("*"), persons=F.countDistinct("person_id"), evidence_items=F.sum(F.size("evidence")))
+
+
+def read_notes_for_exploration(spark: SparkSession, path: str) -> DataFrame:
+    """Notes with empty texts kept, and with clean_text, doc_length (its words) and year."""
+    notes = read_notes(spark, path).withColumn("clean_text", clean_for_exploration(F.col("text")))
+    return notes.withColumns({"doc_length": word_count(F.col("clean_text")), "year": F.year("visit_ts").cast("long")})
+
+
+def read_parts(spark: SparkSession, *patterns: str) -> DataFrame:
+    """All Parquet parts that match glob patterns, as one scan; no part raises."""
+    return spark.read.parquet(*patterns)
+
+
+def read_vectors(spark: SparkSession, path: str, dimension: int, key: str = "row") -> DataFrame:
+    """Vector shards (``key``, vector): keys must run from 0 without gaps, vectors have ``dimension`` numbers."""
+    df = spark.read.parquet(path)
+    require_valid(df, F.size("vector") == dimension, f"vectors without {dimension} numbers")
+    found = df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("d"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if found["n"] and (found["d"] != found["n"] or found["low"] != 0 or found["high"] != found["n"] - 1):
+        raise IntegrityError(f"{key} is not contiguous: {found.asDict()}")
     return df
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,15 @@ def append_ids(df: DataFrame, path: str) -> None:
     df.select(F.col("person_id").cast("string")).write.mode("append").text(path)
 
 
-def write_ranking(df: DataFrame, path: str) -> None:
+def write_ranking(df: DataFrame, path: str) -> DataFrame:
     """Ranked rows of fixed types, zstd, partitioned by retriever and search space, sorted by rank so that a filter on rank skips
-    row groups."""
+    row groups. Returns (and writes beside them) what was written: (retriever, search_space, n_rows, n_questions, state)."""
+    spark = df.sparkSession
     fixed = df.select("retriever", "search_space", *[F.col(c).cast(t).alias(c) for c, t in RANKING.items()])
     fixed.repartition("retriever", "search_space").sortWithinPartitions("rank", "question_id").write.mode("overwrite").option("compression", "zstd").partitionBy("retriever", "search_space").parquet(path)
+    facts = spark.read.parquet(path).groupBy("retriever", "search_space").agg(F.count("*").alias("n_rows"), F.countDistinct("question_id").alias("n_questions"), F.bit_xor(F.xxhash64("question_id", "doc_id", "rank")).alias("state"))
+    facts.coalesce(1).write.mode("overwrite").json(f"{path}/_facts")  # a row for each pair; readers of the ranking skip the folder
+    return spark.read.schema(facts.schema).json(f"{path}/_facts")
 
 
 def write_missing(df: DataFrame, path: str, keys: list[str], partitions: list[str] | None = None) -> DataFrame:
@@ -37,8 +42,32 @@ def write_missing(df: DataFrame, path: str, keys: list[str], partitions: list[st
     return new
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def shard_state(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(shard, n, state): how many rows each shard holds and a checksum of their keys that does not depend on their order."""
+    return df.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*keys)).alias("state"))
+
+
+def write_shards(df: DataFrame, path: str, keys: list[str], shards: int) -> list[int]:
+    """Parquet folders shard=0, 1 .. by a hash of the keys. Shards that are there whole (readable, with the right keys) stay; missing,
+    incomplete and corrupt ones are written anew. Returns the numbers of those written."""
+    from .readers import path_exists
+
+    spark = df.sparkSession
+    dealt = df.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
+    wanted = shard_state(dealt, keys)
+    if path_exists(spark, path):
+        there = spark.read.schema(dealt.schema).option("ignoreCorruptFiles", "true").parquet(path)
+        wanted = wanted.join(shard_state(there, keys), ["shard", "n", "state"], "left_anti")
+    bad = sorted(r["shard"] for r in wanted.select("shard").collect())  # at most the number of shards
+    if bad:
+        dealt.filter(F.col("shard").isin(bad)).repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    return bad
+
+
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """CSV files with headers; ``files`` limits their number (1 for a table that is read as one file)."""
+    rows = df.coalesce(files) if files else df
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_text(blocks: DataFrame, path: str, order: str, column: str = "block") -> None:
@@ -48,23 +77,10 @@ def write_text(blocks: DataFrame, path: str, order: str, column: str = "block")
     blocks.repartition(1).sortWithinPartitions(order).select(column).write.mode("overwrite").text(path)
 
 
-def write_spreadsheet(df: DataFrame, path: str, sheet: str = "items") -> None:
-    """An .xlsx file of a result table small enough for one sheet; needs openpyxl, else raises."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("spreadsheets need openpyxl; write CSV or Parquet instead") from e
-    df.toPandas().to_excel(path, sheet_name=sheet, index=False)
-
-
-def read_spreadsheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("spreadsheets need openpyxl; read CSV or Parquet instead") from e
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet))
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``, which a cluster shares; where that is unset, in the warehouse."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{conf}/{label}-{uuid.uuid4().hex}"
 
 
 def run_metadata(spark: SparkSession, **facts: str) -> DataFrame:

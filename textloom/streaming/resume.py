@@ -17,17 +17,18 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 def process_available(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str]) -> None:
     """Runs ``step`` on all input not processed yet and appends its rows to the Parquet folder ``out``.
 
-    Offsets are in ``checkpoint``; each micro-batch is written to its own folder in overwrite mode, so a batch that is repeated
-    after a failure replaces itself, and rows of keys from earlier batches are left out.
+    Offsets are in ``checkpoint``; each micro-batch is written to its own folder batch=N in overwrite mode, so a batch that is repeated
+    after a failure replaces itself. Rows of keys from other batches are left out by one join with the keys of all folders but its
+    own; the plan is the same for every batch.
     """
     def write(batch: DataFrame, number: int) -> None:
         from ..sources.readers import path_exists
 
         spark = batch.sparkSession
         new = step(batch).dropDuplicates(keys)
-        for k in range(number):
-            if path_exists(spark, f"{out}/batch={k}"):
-                new = new.join(spark.read.parquet(f"{out}/batch={k}").select(*keys), keys, "left_anti")
+        if path_exists(spark, out):
+            earlier = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+            new = new.join(earlier.filter(F.col("batch") != number).select(*keys), keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
