@@ -83,10 +83,14 @@ def _majority(count: Column) -> Column:
     return bits
 
 
-def fingerprints(windows: DataFrame, k: int) -> DataFrame:
-    """(size, digest, fingerprint): the SimHash of the shingles of the windows (size, digest, words)."""
-    hashes = F.transform(shingle_starts(F.col("words"), k), lambda i: F.xxhash64(F.slice("words", i, k)))
-    sums = windows.select("size", "digest", F.explode(hashes).alias("h")).groupBy("size", "digest").agg(F.count("*").alias("n"), *_lane_sums(F.col("h")))
+def hashed(words: Column, k: int) -> Column:
+    """The hashes of all shingles."""
+    return F.transform(shingle_starts(words, k), lambda i: F.xxhash64(F.slice(words, i, k)))
+
+
+def fingerprints(windows: DataFrame) -> DataFrame:
+    """(size, digest, fingerprint): the SimHash of the shingles of the windows (size, digest, hashes)."""
+    sums = windows.select("size", "digest", F.explode("hashes").alias("h")).groupBy("size", "digest").agg(F.count("*").alias("n"), *_lane_sums(F.col("h")))
     return sums.select("size", "digest", _majority(F.col("n")).alias("fingerprint"))
 
 
@@ -132,29 +136,32 @@ def item_anchors(items: DataFrame, k: int) -> DataFrame:
     return picked.join(everywhere, ["digest", "word"]).select("word", "size", "near").distinct()
 
 
-def shares_shingle(a: Column, b: Column, size: Column, k: int) -> Column:
-    """Whether two neighbourhoods agree on a whole shingle around their middle (short items: on all of the item)."""
-    same = [F.slice(a, j + 1, k) == F.slice(b, j + 1, k) for j in range(k)]
-    any_ = same[0]
-    for x in same[1:]:
-        any_ = any_ | x
-    return any_ | (size < k)
+def shares_shingle(words: Column, position: Column, near: Column, size: Column, k: int) -> Column:
+    """Whether the text agrees with an anchor's surroundings on a whole shingle around ``position`` (short items: always)."""
+    found = size < k
+    for j in range(k):
+        first = position - (k - 1 - j)
+        found = found | ((first >= 0) & (F.slice(words, F.greatest(first, F.lit(0)) + 1, k) == F.slice(near, j + 1, k)))
+    return found
 
 
 def anchored(words: DataFrame, items: DataFrame, config: DecontaminationConfig) -> DataFrame:
     """(doc_id, words, size, starts): the places of all windows that hold an anchor of an item of that size in a shingle of the item."""
     anchors = written(item_anchors(items, config.k), "anchors")
     few = anchors.select("word").distinct().limit(config.literal_anchors + 1).collect()
+    n = F.size("words")
     if len(few) <= config.literal_anchors and anchors.count() <= config.anchor_rows:
         literal = F.array(*[F.lit(r["word"]) for r in few]) if few else F.array().cast("array<string>")
+        met = words.select("doc_id", "words", F.array_intersect("words", literal).alias("met"))
         # explode_outer and the inner join, not a filter: a filter would be pushed below and cut the words a second time.
-        hits = words.select("doc_id", "words", F.explode_outer(F.array_intersect("words", literal)).alias("word"))
+        places = F.when(F.size("met") > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains("met", F.get("words", i))))
+        hits = met.select("doc_id", "words", F.explode_outer(places).alias("position")).withColumn("word", F.get("words", F.col("position")))
         found = hits.join(F.broadcast(anchors), "word")
     else:
-        found = words.select("doc_id", "words", F.explode_outer(F.array_distinct("words")).alias("word")).join(anchors, "word")
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) == F.col("word"))
-    found = found.select("doc_id", "words", "size", "near", F.explode_outer(places).alias("position"))
-    found = found.filter(shares_shingle(around(F.col("words"), F.col("position"), config.k), F.col("near"), F.col("size"), config.k))
+        hits = words.select("doc_id", "words", F.explode_outer(F.array_distinct("words")).alias("word")).join(anchors, "word")
+        places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", i) == F.col("word"))
+        found = hits.select("doc_id", "words", "size", "near", F.explode_outer(places).alias("position"))
+    found = found.filter(shares_shingle(F.col("words"), F.col("position"), F.col("near"), F.col("size"), config.k))
     # A document id may stand for several texts, so a hash of the words is part of its identity.
     of_text = found.groupBy("doc_id", F.xxhash64("words").alias("text_hash"), "size").agg(F.collect_set("position").alias("positions"), F.first("words").alias("words"))
     last = F.size("words") - F.col("size")
@@ -176,15 +183,16 @@ def everywhere(words: DataFrame, items: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """doc_id, item_id, start (word number of the best window, from 0), n_words, distance (bits), similarity."""
     items = written(normal_items(benchmark), "items")
-    texts = items.dropDuplicates(["digest"]).select("size", "digest", "words")
+    texts = items.dropDuplicates(["digest"]).select("size", "digest", "words", hashed(F.col("words"), config.k).alias("hashes"))
     words = with_text(docs, "doc_id").select("doc_id", normal_words(F.col("text")).alias("words"))
     laid = written(everywhere(words, items) if config.every_window else anchored(words, items, config), "laid")
     windows = laid.select("doc_id", "size", "words", F.explode("starts").alias("start"))
     windows = windows.select("doc_id", "size", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")).withColumn("digest", digest(F.col("words")))
-    different = written(windows.select("size", "digest", "words").dropDuplicates(["size", "digest"]), "windows")
+    different = windows.select("size", "digest", "words").dropDuplicates(["size", "digest"])
+    different = written(different.withColumn("hashes", hashed(F.col("words"), config.k)), "windows")
 
-    prints = written(fingerprints(different, config.k), "prints")
-    item_prints = fingerprints(texts, config.k).withColumnsRenamed({"digest": "item", "fingerprint": "item_print"})
+    prints = written(fingerprints(different), "prints")
+    item_prints = fingerprints(texts).withColumnsRenamed({"digest": "item", "fingerprint": "item_print"})
     numbers = F.explode(F.array(*map(F.lit, range(4)))).alias("number")
     left = prints.select("*", numbers).withColumn("value", block(F.col("fingerprint"), F.col("number")))
     right = item_prints.select("*", numbers).withColumn("value", F.explode(block_values(block(F.col("item_print"), F.col("number")), config.radius // 4)))
@@ -192,10 +200,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamination
     met = left.join(right.hint("merge"), ["size", "number", "value"]).withColumn("distance", distance).filter(F.col("distance") <= config.radius)
     close = met.select("size", "digest", "item", "distance").distinct()
 
-    pairs = close.join(different, ["size", "digest"]).join(texts.select(F.col("digest").alias("item"), F.col("words").alias("item_words")), "item")
-    similarity = weighted_jaccard(shingles(F.col("words"), config.k), shingles(F.col("item_words"), config.k))
-    verified = pairs.select("size", "digest", "item", "distance", similarity.alias("similarity")).filter(F.col("similarity") >= config.similarity)
-    verified = written(verified, "verified")
+    def sides(pairs: DataFrame, column: str) -> DataFrame:
+        mine, theirs = different.select("size", "digest", F.col(column).alias("mine")), texts.select(F.col("digest").alias("item"), F.col(column).alias("theirs"))
+        return pairs.join(mine, ["size", "digest"]).join(theirs, "item")
+
+    # Equal shingles have equal hashes; what passes on hashes is verified on the shingles themselves.
+    near = sides(close, "hashes").filter(weighted_jaccard(F.col("mine"), F.col("theirs")) >= config.similarity)
+    exact = weighted_jaccard(shingles(F.col("mine"), config.k), shingles(F.col("theirs"), config.k))
+    verified = sides(written(near.select(*close.columns), "near"), "words").select(*close.columns, exact.alias("similarity"))
+    verified = written(verified.filter(F.col("similarity") >= config.similarity), "verified")
     found = windows.select("doc_id", "size", "start", "digest", F.size("words").alias("n_words")).join(verified, ["size", "digest"])
     named = found.join(items.select("item_id", F.col("digest").alias("item")), "item")
     best = F.min(F.struct(-F.col("similarity"), F.col("start"), "n_words", "distance", "similarity")).alias("best")
@@ -205,7 +218,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: Decontamination
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Sum of least multiplicities over sum of greatest, of two arrays taken as multisets."""
     both = F.array_intersect(a, b)
-    shared = F.aggregate(both, F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))  # then no element is shared twice
+    twice = F.aggregate(both, F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    shared = F.when(once, F.size(both)).otherwise(twice)
     return shared / (F.size(a) + F.size(b) - shared)
 
 
