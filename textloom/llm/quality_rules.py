@@ -3,7 +3,10 @@
 Two multinomials over hashed byte n-grams are estimated: the *trusted* one from labelled rows (quality 1, toxic 0) and the
 *raw* one from every document. A document's score is the mean over its n-grams of log p_trusted - log p_raw, that is the
 log-likelihood ratio divided by the number of n-grams, and it is kept when no base rule fails and the score is at least
-``threshold``. Every document gets the same deterministic test.
+``threshold``. Every document gets the same deterministic test. The raw model has ``smoothing`` added to each bucket; the trusted
+one is drawn towards the raw one with the weight of as many n-grams, so an n-gram that few trusted texts could have shown says
+nothing. The default threshold lies in the gap of the labelled rows of the sample tables: trusted texts score -0.16 or more, half of
+the bad ones -1 or less.
 
 Memory is bounded: a task holds one slice of text and two vectors of ``2**bits`` numbers; the fitted model has ``2**bits``
 doubles whatever the corpus size, which is the proven bound for sending it to the workers.
@@ -31,7 +34,7 @@ from .textarrays import lean, mix, same_row_windows, slices, SPACE, TextSlice
 class QualityConfig:
     """``trusted_rows`` bounds the labelled sample that the trusted model is fitted on: the rows of least hashed id."""
 
-    bits: int = 14
+    bits: int = 16
     gram: int = 4
     trusted_rows: int = 20_000
     threshold: float = -0.3
@@ -98,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
     if not trusted.sum():
         return np.zeros(1 << config.bits)
     a = config.smoothing
-    return np.log((trusted + a) / (trusted.sum() + a * len(trusted))) - np.log((raw + a) / (raw.sum() + a * len(raw)))
+    prior = (raw + a) / (raw.sum() + a * len(raw))
+    return np.log((trusted + a * len(raw) * prior) / (trusted.sum() + a * len(raw))) - np.log(prior)
 
 
 def repeated_words(words_row: np.ndarray, word_hash: np.ndarray, rows: int) -> np.ndarray:
