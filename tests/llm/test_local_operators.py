@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -74,7 +75,7 @@ def test_pii_rows(spark):
 
 def test_quality_figures_equal_brute_force(spark):
     texts = [None, "", " \n\t", *odd_texts(300, 2, ["a", "b", "c d e", " ", "\n", "é", "#", "\x0b", "\x85", "a b c", "| "], 60)]
-    rows = {r["doc_id"]: r for r in quality_rules.score(frame(spark, texts), np.zeros(1 << 14)).collect()}
+    rows = {r["doc_id"]: r for r in quality_rules.score(frame(spark, texts), np.zeros(1 << 16)).collect()}
     for k, t in enumerate(texts):
         r, t = rows[len(texts) - k], t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -102,10 +103,11 @@ def test_log_likelihood_ratio_equals_brute_force(spark):
     texts = ["good words here " * 9, "other fine words " * 9, "%%% $$$ ### " * 9, "abc"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, 1, 1), (0, 1, 0), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
-    grams = [[((int.from_bytes(t.encode()[i : i + 4], "little") * 2654435761) % 2**32) >> 18 for i in range(len(t.encode()) - 3)] for t in texts]
+    grams = [[((int.from_bytes(t.encode()[i : i + 4], "little") * 2654435761) % 2**32) >> 16 for i in range(len(t.encode()) - 3)] for t in texts]
     raw, good = Counter(sum(grams, [])), Counter(grams[0] + grams[1])
-    size = 1 << 14
-    llr = lambda b: math.log((good[b] + 1) / (sum(good.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
+    size = 1 << 16
+    prior = lambda b: (raw[b] + 1) / (sum(raw.values()) + size)
+    llr = lambda b: math.log((good[b] + size * prior(b)) / (sum(good.values()) + size) / prior(b))
     got = {r["doc_id"]: r["score"] for r in quality_rules.quality_rules(docs, labels, config).collect()}
     for k, g in enumerate(grams):
         assert got[k] == pytest.approx(sum(map(llr, g)) / max(len(g), 1))
@@ -202,6 +204,27 @@ def test_licence_texts_and_notices(spark):
     assert got[3]["digest"] == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_long_licences_are_found_whole(spark):
+    texts = []
+    for name, _ in licence_scan.DIGESTS:
+        file = {"Artistic-1.0-Perl": "Artistic"}.get(name, name.replace(".0", "") if name[:3] in ("GPL", "LGP") else name)
+        with open(f"/usr/share/common-licenses/{file}", encoding="utf-8", errors="replace") as f:
+            body = f.read()
+        texts += [body, "Copyright (c) 2021 A. Person\r\n" + re.sub(r"[ \t]+", "  ", body.upper()), body + " and more"]
+    got = {len(texts) - r["doc_id"]: r["licence"] for r in licence_scan.licence_scan(frame(spark, texts)).collect()}
+    for k, (name, _) in enumerate(licence_scan.DIGESTS):
+        assert (got[3 * k], got[3 * k + 1], got[3 * k + 2]) == (name, name, None)
+
+
+def test_callers_may_add_known_texts(spark, monkeypatch):
+    more = spark.createDataFrame([("Own-1", "Do what you like, please."), ("Own-2", "do WHAT you like please"), ("Empty", None)], "licence string, text string")
+    docs = frame(spark, ["Do what you\nlike - please!", "", "Do what you\nlike - please!"])
+    for bound in (100_000, 0):
+        monkeypatch.setattr(licence_scan, "BROADCAST_ROWS", bound)
+        assert {r["doc_id"]: r["licence"] for r in licence_scan.licence_scan(docs, more).collect()} == {1: "Own-1,Own-2", 2: None, 3: "Own-1,Own-2"}
+
+
 def test_licence_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     names = ["doc_id", "digest", "licence", "notices", "n_notice_lines"]
