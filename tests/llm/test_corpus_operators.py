@@ -402,3 +402,31 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert 9001 in rows["near-duplicate removal"] and 9002 not in rows["near-duplicate removal"]
     assert 9003 not in rows["benchmark decontamination"] and 9001 in rows["SentencePiece sampling"]
     assert out.filter("not lossless").count() == 0 and out.filter("text rlike '[a-z]+[.]?[0-9]*@'").count() == 0
+
+
+@pytest.mark.parametrize("rows", [0, 1, 12])
+def test_pipeline_on_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    rnd = random.Random(31)
+    good = [some_text(rnd, 80) for _ in range(4)]
+    texts = [None, "", "ab", " \n", good[0], good[0], good[1] + " tail", good[1], good[2] + " x@y.example.com", "word " * 300, good[3].upper(), good[3]]
+    docs = [(None if k == 10 else k, t, "en", "s", 0, "clash") for k, t in enumerate(texts)][:rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, bucket string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1, 0)][:rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, good[2]), (2, None)][:rows], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out) == ([4, 6, 11] if rows == 12 else []) and all(r["lossless"] for r in out)
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from textloom.llm import tables
+
+    mark = tables.scratch_mark()
+    df = tables.written(spark.range(3).toDF("x"), "some")
+    assert df.count() == 3 and Path(tables._PATHS[-1]).exists()
+    gone = tables._PATHS[-1]
+    tables.discard_scratch(spark, mark)
+    assert not Path(gone).exists() and tables.scratch_mark() == mark

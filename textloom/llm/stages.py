@@ -10,7 +10,7 @@ from .decontamination import contamination
 from .near_dedup import one_of_each_class
 from .pii import mask_pii
 from .piece_sampling import add_pieces
-from .tables import drop_finished_shuffles, scratch, table, written
+from .tables import discard_scratch, drop_finished_shuffles, scratch, scratch_mark, table, written
 
 #: Up to so many ids of contaminated documents are sent to all executors; beyond, documents are shuffled.
 BROADCAST_IDS = 500_000
@@ -56,12 +56,14 @@ STAGES = [
 
 
 def apply_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each written and reread; what a stage has left in the shared folder goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        path, mark = scratch(spark, "stage"), scratch_mark()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = scratch(spark, "stage")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
             drop_finished_shuffles(spark)
+            discard_scratch(spark, mark)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Paths below the shared folder that this process has written.
+_PATHS: list[str] = []
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -28,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where the session has none (as in tests) a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. A session without one gets a temporary folder if it runs in this process alone (as
+    tests do); on a cluster, whose executors could not see that folder, it raises."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = conf or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,7 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -49,16 +56,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what this process has written below the shared folder, from the ``since``-th path on. Call it when results that read
+    from there have been written themselves; until then lost executors may need the tables again."""
+    for name in _PATHS[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _PATHS[since:]
+
+
+def scratch_mark() -> int:
+    """How many scratch paths there are, for ``discard_scratch``."""
+    return len(_PATHS)
 
 
 def with_text(docs: DataFrame, *columns: str) -> DataFrame:
