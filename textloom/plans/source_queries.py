@@ -128,7 +128,7 @@ def vector_shards(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("row", "vec_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
-@query("file_manifest", "SELECT n_regionkey::BIGINT AS region, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256, n_regionkey <> 2 AS matches FROM nation GROUP BY 1")
+@query("file_manifest", "SELECT n_regionkey::BIGINT AS region, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256, n_regionkey <> 2 AS matches FROM nation GROUP BY n_regionkey")
 def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """One text file for each region, its digest, and whether a manifest (wrong for region 2) has it."""
     path, n = _fresh(spark, "files"), s.table(spark, sf, "nation").select("n_name", "n_regionkey")
