@@ -365,7 +365,7 @@ def test_katz_scores(spark, bucket, block, rounds):
     docs = [(i, " ".join(rnd.choice("abcdefghijKLmnop") * rnd.choice([1, 1, 1, 2, 3]) for _ in range(rnd.randint(0, 30)))) for i in range(200)]
     docs += [(300, None), (301, ""), (None, "a b"), (7, "x y z"), docs[3]]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit("x"))
-    config = katz_model.KatzConfig(tokens_per_bucket=bucket, block_tokens=block, rounds=rounds)
+    config = katz_model.KatzConfig(tokens_per_bucket=bucket, block_tokens=block, rounds=rounds, page_rounds=rounds)
     got = sorted((tuple(r) for r in katz_model.katz_scores(df, config).collect()), key=str)
     want = sorted(_katz(docs, df), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]

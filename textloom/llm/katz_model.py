@@ -17,7 +17,8 @@ per block of texts and bucket, that hold each distinct bigram of the block once.
 several buckets (at most ``4 * buckets`` contexts are that frequent, which bounds their list). A bucket's pages are scored
 against that bucket's part of the tables: per token the bigram is looked up; else the backoff weight is taken and the word goes on
 to the bucket of its unigram. Exchanges have as many partitions as there are buckets, so a task's share does not grow with the
-corpus; the passes over contexts and over pages go in ``rounds``, each over a part of the buckets, which bounds the disk that is in use at a time.
+corpus; the passes over contexts and over pages go in ``rounds`` and ``page_rounds``, each over a part of the buckets, which bounds
+the disk that is in use at a time.
 Partial sums per text travel packed and are added by key. Words are 64-bit hashes.
 
 Defined results: null and empty texts are one end token. A null doc_id counts as empty text for the fold. Repeated rows are each
@@ -46,9 +47,10 @@ class KatzConfig:
     folds: int = 7
     held_out: int = 2
     katz_limit: int = 5
-    tokens_per_bucket: int = 4_000_000
+    tokens_per_bucket: int = 2_000_000
     block_tokens: int = 450_000
     rounds: int = 3
+    page_rounds: int = 2
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -171,8 +173,8 @@ def unigram_counts(docs: DataFrame, config: KatzConfig) -> DataFrame:
 
 
 def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig) -> DataFrame:
-    """One row for each bucket: its contexts, the number of next words of each, next words and counts as packed numbers, and how
-    many of its bigrams have counts 1, 2 .. ``katz_limit`` + 1 (columns n1, n2 ..)."""
+    """Up to eight rows for each bucket: contexts, the number of next words of each, next words and counts as packed numbers, and how
+    many of the bigrams have counts 1, 2 .. ``katz_limit`` + 1 (columns n1, n2 ..)."""
     counts_of_counts = [f"n{r}" for r in range(1, config.katz_limit + 2)]
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,23 +191,24 @@ def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig)
                 yield pa.RecordBatch.from_arrays([pa.array(full), *[pa.array(x, pa.binary()) for x in zip(*rows)]] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 4], ["bucket", "contexts", "runs", "tokens", "counts"])
 
     def merge(pages_: pa.Table) -> pa.Table:
+        """A row for each eighth of the range of contexts, which is sorted at a time."""
         return_freed_arrays()
         context = np.repeat(flat(pages_, "contexts", np.uint64), flat(pages_, "runs", np.uint32))
         token, counts = flat(pages_, "tokens", np.uint64), flat(pages_, "counts", np.uint32)
-        n, kept = np.zeros(config.katz_limit + 3, dtype=np.int64), []
-        top = np.uint64(61)
-        for part in range(8):  # an eighth of the range of contexts is sorted at a time
-            own = np.flatnonzero((context >> top) == part)
-            own = own[np.lexsort((token[own], context[own]))]
-            c, t = context[own], token[own]
-            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])) if len(own) else own
-            count = np.add.reduceat(counts[own].astype(np.int64), first) if len(own) else own
-            n += np.bincount(np.minimum(count, config.katz_limit + 2), minlength=len(n))
-            kept.append((c[first], t[first], np.minimum(count, 0xFFFFFFFF).astype(np.uint32)))
-        c, t, r = (np.concatenate(x) for x in zip(*kept))
-        own, runs = _runs(c)
-        row = [pa.array([pages_.column("bucket")[0].as_py()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (own, runs, t, r)], *[pa.array([int(x)]) for x in n[1 : config.katz_limit + 2]]]
-        return pa.Table.from_arrays(row, ["bucket", "contexts", "runs", "tokens", "counts", *counts_of_counts])
+        bucket, rows = pages_.column("bucket")[0].as_py(), []
+        for part in range(8):
+            at = np.flatnonzero((context >> np.uint64(61)) == part)
+            at = at[np.lexsort((token[at], context[at]))]
+            c, t = context[at], token[at]
+            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])) if len(at) else at
+            if len(first):
+                count = np.add.reduceat(counts[at].astype(np.int64), first)
+                n = np.bincount(np.minimum(count, config.katz_limit + 2), minlength=config.katz_limit + 3)[1 : config.katz_limit + 2]
+                own, runs = _runs(c[first])
+                packed = (own, runs, t[first], np.minimum(count, 0xFFFFFFFF).astype(np.uint32))
+                rows.append([bucket, *(x.tobytes() for x in packed), *map(int, n)])
+        kinds = [pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * len(counts_of_counts)]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "contexts", "runs", "tokens", "counts", *counts_of_counts])
 
     train = with_text(docs.filter(~fold_column(config)))
     paged = train.mapInArrow(lean(pages), "bucket int, contexts binary, runs binary, tokens binary, counts binary").repartition(buckets, "bucket")
@@ -326,7 +329,7 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
             for batch in batches:
                 keys = batch.column("key").to_numpy()
                 for context, token, row, at_row in blocks(batch, config.block_tokens):
-                    here = split_buckets(context, token, hot, buckets) % config.rounds == number
+                    here = split_buckets(context, token, hot, buckets) % config.page_rounds == number
                     which, bucket, c, t = _distinct_pairs(context[here], token[here], hot, buckets)
                     uses = np.bincount(which, minlength=len(c)).astype(np.uint32)
                     row = row[here][np.argsort(which, kind="stable")].astype(np.int32)
@@ -365,10 +368,11 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
         find = lookup(rows)
         stored_rows = rows.filter(rows.column("context").is_null())
         key = _pair_hash(np.repeat(flat(stored_rows, "contexts", np.uint64), flat(stored_rows, "runs", np.uint32)), flat(stored_rows, "tokens", np.uint64))
-        count = flat(stored_rows, "counts", np.uint32)
-        mass = np.log10(np.where(count <= k, masses[np.minimum(count, k) - 1], count.astype(np.float64)))
         ranked = np.argsort(key)
-        key, mass = key[ranked], mass[ranked]
+        key, count = key[ranked], flat(stored_rows, "counts", np.uint32)[ranked]
+        del ranked
+        mass = np.log10(np.where(count <= k, masses[np.minimum(count, k) - 1], count)).astype(np.float64)
+        del count
         found: list[list[np.ndarray]] = [[] for _ in _SUMS]
         words, texts = [], []
         for page in (row for chunk in pages_.to_batches(max_chunksize=16) for row in chunk.to_pylist()):
@@ -442,8 +446,8 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
     numbers = [("context", "long"), ("count", "long"), ("log_p", "double"), ("scale", "double"), ("backoff", "double")]
     tables = contexts.select("bucket", *[c for c, _ in numbers], *none(*[(c, "binary") for c in arrays])).union(model.bigrams.select("bucket", *none(*numbers), *arrays))
     parts = []
-    for number in range(config.rounds):
-        mine = tables.filter(F.col("bucket") % config.rounds == number).repartition(buckets, "bucket")
+    for number in range(config.page_rounds):
+        mine = tables.filter(F.col("bucket") % config.page_rounds == number).repartition(buckets, "bucket")
         paged = keyed.select("key", "text").mapInArrow(lean(pages_of(number)), "bucket int, contexts binary, runs binary, tokens binary, uses binary, rows binary, keys binary").repartition(buckets, "bucket")
         parts.append(written(paged.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(lean_group(add_up), schema), "scored"))
         drop_finished_shuffles(docs.sparkSession)
