@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens
+from ..sources.writers import written
 
 
 def postings(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +52,10 @@ def bm25_scores(questions: DataFrame, documents: DataFrame, **parameters: float)
 
 
 def bm25_top(questions: DataFrame, documents: DataFrame, k: int, digits: int | None = None, **parameters: float) -> DataFrame:
-    """The first k ranks of ``bm25_scores``: of the hits alone where k of them have a score above 0, else of all documents."""
+    """The first k ranks of ``bm25_scores``: of the hits alone where k of them have a score above 0, else of all documents. The hits
+    are read twice, so they are written to the shared folder first."""
     hits, every = bm25_hits(questions, documents, **parameters)
+    hits = written(hits, "hits")
     first = top_k(ranked(hits.filter((F.col("score") if digits is None else F.round("score", digits)) > 0), digits), k)
     counted = first.withColumn("n", F.count("*").over(Window.partitionBy("question_id", "index_id")))
     full = counted.filter(F.col("n") == k).drop("n")

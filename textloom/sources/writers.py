@@ -83,6 +83,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{conf}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to a fresh shared path and reads it back, for tables that a plan reads more than once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_metadata(spark: SparkSession, **facts: str) -> DataFrame:
     """One row of run facts, the engine version and the UTC time."""
     row = {**facts, "engine_version": spark.version, "created_utc": datetime.now(timezone.utc).isoformat(timespec="seconds")}
