@@ -62,8 +62,9 @@ def test_components(spark):
         if a != b:
             low, high = sorted((find(a), find(b)))
             parent[high] = low
-    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent}
+    for bound in (0, 1000):
+        got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long"), bound).collect()}
+        assert got == {x: find(x) for x in parent}
 
 
 def _edited(rnd, text, changes):

@@ -59,6 +59,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame | None:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else None: the caller then shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def discard_scratch(spark: SparkSession, since: int = 0) -> None:
     """Deletes what this process has written below the shared folder, from the ``since``-th path on. Call it when results that read
     from there have been written themselves; until then lost executors may need the tables again."""
