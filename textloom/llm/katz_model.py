@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import drop_finished_shuffles, table, with_text, written
+from .tables import discard_scratch, drop_finished_shuffles, scratch_mark, table, with_text, written
 from .textarrays import LOWER_ASCII, TextSlice, lean, lean_group, mix, return_freed_arrays, slices
 
 
@@ -50,7 +50,7 @@ class KatzConfig:
     tokens_per_bucket: int = 2_000_000
     block_tokens: int = 450_000
     rounds: int = 3
-    page_rounds: int = 2
+    page_rounds: int = 3
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -131,15 +131,18 @@ def _pair_hash(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context * _STEP + mix(token))
 
 
-def _distinct_pairs(context: np.ndarray, token: np.ndarray, hot: dict, buckets: int):
-    """(order, which, bucket, context, token): distinct pairs sorted by bucket and context; ``which`` maps tokens to them."""
-    _, example, inverse = np.unique(_pair_hash(context, token), return_index=True, return_inverse=True)
-    c, t = context[example], token[example]
-    bucket = split_buckets(c, t, hot, buckets)
-    order = np.lexsort((t, c, bucket))
-    rank = np.empty(len(order), dtype=np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    return rank[inverse], bucket[order], c[order], t[order]
+def _grouped_pairs(context: np.ndarray, token: np.ndarray, hot: dict, buckets: int):
+    """(order, first, bucket, context, token): tokens in groups of equal pairs, by bucket and then mostly by context; ``first`` is where
+    a group begins. One sort of 64 bits: 16 of the bucket and 24 each of the two hashes. Where these agree by chance a pair may come in
+    two groups and a context in two runs, which merging and scoring allow."""
+    bucket = split_buckets(context, token, hot, buckets)
+    key = ((bucket.astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)) | ((context >> np.uint64(40)) << np.uint64(24)) | (token >> np.uint64(40))
+    order = np.argsort(key)
+    if buckets > 1 << 16:
+        order = order[np.argsort(bucket[order], kind="stable")]
+    b, c, t = bucket[order], context[order], token[order]
+    first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1]) | (b[1:] != b[:-1])])) if len(c) else np.zeros(0, dtype=np.int64)
+    return order, first, b[first], c[first], t[first]
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +183,8 @@ def bigram_counts(docs: DataFrame, hot: dict, buckets: int, config: KatzConfig)
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for context, token, _, _ in blocks(batch, config.block_tokens):
-                which, bucket, c, t = _distinct_pairs(context, token, hot, buckets)
-                count = np.bincount(which, minlength=len(c)).astype(np.uint32)
+                _, first, bucket, c, t = _grouped_pairs(context, token, hot, buckets)
+                count = np.diff(np.append(first, len(token))).astype(np.uint32)
                 full, size = _runs(bucket)
                 cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
                 rows = []
@@ -284,7 +287,7 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     drop_finished_shuffles(spark)
     n2 = bigrams.agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, k + 2)]).first()
     d2 = discounts({r: n for r, n in enumerate(n2, 1) if n}, k)
-    sums = []
+    sums, mark = [], scratch_mark()
     for number in range(config.rounds):
         rows = bigram_rows(bigrams, number, config.rounds).select("context", "word", discounted(F.col("count"), d2).alias("mass"))
         joined = rows.join(unigrams.select("word", F.pow(F.lit(10.0), F.col("log_p")).alias("p")), "word")
@@ -298,8 +301,10 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     told = F.when(F.col("mass").isNull(), 0.0).otherwise(F.log10((1 - rest) / F.col("mass")))
     contexts = every.join(sums, "context", "left").select(
         "context", "count", "log_p", told.alias("log_scale"), F.when(F.col("mass").isNull(), 0.0).otherwise(F.log10(rest / (1 - F.col("lower")))).alias("log_backoff"))
+    end = scratch_mark()
     contexts = written(contexts, "contexts")
     drop_finished_shuffles(spark)
+    discard_scratch(spark, mark, end)
     log_end = math.log10((end_count * (d1[end_count - 1] if 0 < end_count <= k else 1.0) - d_all) / N) if end_count else log_unknown
     return KatzModel(unigrams, bigrams, contexts, d2, N, V, log_unknown, end_count, log_end, hot, buckets)
 
@@ -329,17 +334,20 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
             for batch in batches:
                 keys = batch.column("key").to_numpy()
                 for context, token, row, at_row in blocks(batch, config.block_tokens):
-                    here = split_buckets(context, token, hot, buckets) % config.page_rounds == number
-                    which, bucket, c, t = _distinct_pairs(context[here], token[here], hot, buckets)
-                    uses = np.bincount(which, minlength=len(c)).astype(np.uint32)
-                    row = row[here][np.argsort(which, kind="stable")].astype(np.int32)
-                    token_cut = np.concatenate([[0], np.cumsum(uses)]).astype(np.int64)
+                    here = np.flatnonzero(split_buckets(context, token, hot, buckets) % config.page_rounds == number)
+                    order, first, bucket, c, t = _grouped_pairs(context[here], token[here], hot, buckets)
+                    token_cut = np.append(first, len(here))
+                    uses, row, seen = np.diff(token_cut).astype(np.uint32), row[here[order]], np.zeros(int(row[-1]) + 1, dtype=bool)
                     full, size = _runs(bucket)
                     cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
                     out = []
                     for a, b in zip(cut[:-1], cut[1:]):
                         own, length = _runs(c[a:b])
-                        met, local = np.unique(row[token_cut[a] : token_cut[b]], return_inverse=True)
+                        mine = row[token_cut[a] : token_cut[b]]
+                        seen[:] = False
+                        seen[mine] = True
+                        met = np.flatnonzero(seen)
+                        local = (np.cumsum(seen) - 1)[mine]
                         local = local.astype(np.uint16) if len(met) < 65536 else local.astype(np.uint32)
                         out.append((own.tobytes(), length.tobytes(), t[a:b].tobytes(), uses[a:b].tobytes(), local.tobytes(), keys[at_row + met].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array([o[x] for o in out], pa.binary()) for x in range(6)]], names)
@@ -445,17 +453,26 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
     arrays = ["contexts", "runs", "tokens", "counts"]
     numbers = [("context", "long"), ("count", "long"), ("log_p", "double"), ("scale", "double"), ("backoff", "double")]
     tables = contexts.select("bucket", *[c for c, _ in numbers], *none(*[(c, "binary") for c in arrays])).union(model.bigrams.select("bucket", *none(*numbers), *arrays))
-    parts = []
+    sum_schema, of_texts, asked = "key long, n long, known long, base double, log double", [], []
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.select("part", *_SUMS).repartition(buckets, "part").groupBy("part").applyInArrow(lean_group(text_sums), sum_schema)
+
     for number in range(config.page_rounds):
         mine = tables.filter(F.col("bucket") % config.page_rounds == number).repartition(buckets, "bucket")
         paged = keyed.select("key", "text").mapInArrow(lean(pages_of(number)), "bucket int, contexts binary, runs binary, tokens binary, uses binary, rows binary, keys binary").repartition(buckets, "bucket")
-        parts.append(written(paged.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(lean_group(add_up), schema), "scored"))
+        mark = scratch_mark()
+        parts = written(paged.groupBy("bucket").cogroup(mine.groupBy("bucket")).applyInArrow(lean_group(add_up), schema), "scored")
+        drop_finished_shuffles(docs.sparkSession)
+        end = scratch_mark()
+        of_texts.append(written(added(parts.filter("words is null")), "sums"))
+        asked.append(written(parts.filter("words is not null").select(F.col("part").alias("bucket"), "keys", "words"), "asked"))
         drop_finished_shuffles(docs.sparkSession)
-    parts = reduce(DataFrame.union, parts)
-    asked = parts.filter("words is not null").select(F.col("part").alias("bucket"), "keys", "words").repartition(buckets, "bucket")
+        discard_scratch(docs.sparkSession, mark, end)
+    asked = reduce(DataFrame.union, asked).repartition(buckets, "bucket")
     rest = asked.groupBy("bucket").cogroup(contexts.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(lean_group(unigram_level), schema)
-    of_texts = parts.filter("words is null").union(rest).select("part", *_SUMS).repartition(buckets, "part")
-    sums = of_texts.groupBy("part").applyInArrow(lean_group(text_sums), "key long, n long, known long, base double, log double")
+    of_texts = reduce(DataFrame.union, [*of_texts, added(rest)])
+    sums = of_texts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "log")])
     rows = keyed.select("doc_id", "key", fold_column(config).alias("held_out"))
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
     done = sums.join(copies, "key")

@@ -64,13 +64,13 @@ def bounded(df: DataFrame, rows: int) -> DataFrame | None:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
 
 
-def discard_scratch(spark: SparkSession, since: int = 0) -> None:
-    """Deletes what this process has written below the shared folder, from the ``since``-th path on. Call it when results that read
-    from there have been written themselves; until then lost executors may need the tables again."""
-    for name in _PATHS[since:]:
+def discard_scratch(spark: SparkSession, since: int = 0, to: int | None = None) -> None:
+    """Deletes what this process has written below the shared folder, from the ``since``-th path up to the ``to``-th. Call it when
+    results that read from there have been written themselves; until then lost executors may need the tables again."""
+    for name in _PATHS[since:to]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _PATHS[since:]
+    del _PATHS[since:to]
 
 
 def scratch_mark() -> int:
