@@ -44,7 +44,7 @@ class PieceConfig:
     seed: int = 20_240_601
     sharpness: float = 1.0
     fallback_log_weight: float = -12.0
-    slice_bytes: int = 1_000_000
+    slice_bytes: int = 250_000
 
 
 class Pieces:
