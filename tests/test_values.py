@@ -258,3 +258,19 @@ def test_empty_tables_do_not_fail(spark):
     assert timeline.corpus_statistics(none).first()["n_notes"] == 0
     r = spark.createDataFrame([], "question_id long, index_id string, doc_id long, rank int, score double")
     assert retrieval.ranking_checks(r, r).filter("n_bad > 0").count() == 0
+
+
+def test_resamples_are_never_broadcast(spark):
+    """What a resample draws looks small to the planner; only the values may be sent, and beyond a bound neither side."""
+    from textloom.operators import runs
+
+    rows = spark.range(300).selectExpr("id AS key_pos", "1 + id % 5 AS a", "1 + (id div 3) % 5 AS b", "'r' AS run", "CAST(id % 2 AS DOUBLE) AS value")
+    joins = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line and "key_pos" in line]
+    found = []
+    for bound in (1000, 10):
+        draws = inference.arithmetic_draws(rows.select("key_pos"), 20)
+        made = [runs.agreement_intervals(rows, "a", "b", 5, 4, draws, broadcast_rows=bound), inference.ratio_estimates(rows.select("run", "key_pos", "value"), draws, "run", broadcast_rows=bound)]
+        kind = "BroadcastHashJoin" if bound == 1000 else "SortMergeJoin"
+        assert all(joins(df) and all(kind in line and "BuildLeft" not in line for line in joins(df)) for df in made)
+        found.append([sorted(map(str, df.collect())) for df in made])
+    assert found[0] == found[1]

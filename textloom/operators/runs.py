@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .checks import covariate_join, require_unique, require_valid
-from .inference import interval, spearman
+from .inference import interval, joined_weights, spearman
 from .metrics import suppressed
 
 
@@ -73,14 +73,15 @@ def _weighted_agreement(cells: DataFrame, labels: int, threshold: int, *keys: st
         F.when(F.abs(c("n") - chance) > 1e-9, (c("same") - chance) / (c("n") - chance)).alias("binary_kappa"), (c("same") / c("n")).alias("binary_accuracy"))
 
 
-def agreement_intervals(rows: DataFrame, a: str, b: str, labels: int, threshold: int, weights: DataFrame) -> DataFrame:
+def agreement_intervals(rows: DataFrame, a: str, b: str, labels: int, threshold: int, weights: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(statistic, estimate, low, high, n_resamples) of two raters' labels 1 .. ``labels`` (rows: key_pos, a, b); undefined resamples
-    are left out. Weights are (b, key_pos, w) as for all resamples."""
+    are left out. Weights are (b, key_pos, w) as for all resamples; they are never sent to the driver, whatever Spark takes their
+    size to be. Up to ``broadcast_rows`` label pairs are sent to all executors; beyond, the join shuffles."""
     pairs = rows.select("key_pos", F.col(a).cast("long").alias("i"), F.col(b).cast("long").alias("j"))
     names = ["qwk", "rho", "binary_kappa", "binary_accuracy"]
     stacked = lambda df: df.select(*[c for c in df.columns if c == "b"], F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("estimate")) for n in names])).alias("s")).select("s.*")
     point = stacked(_weighted_agreement(pairs.groupBy("i", "j").agg(F.count("*").alias("o")).withColumn("b", F.lit(0)), labels, threshold, "b"))
-    resampled = weights.join(pairs, "key_pos").groupBy("b", "i", "j").agg(F.sum("w").alias("o"))
+    resampled = joined_weights(weights, pairs, broadcast_rows).groupBy("b", "i", "j").agg(F.sum("w").alias("o"))
     each = stacked(_weighted_agreement(resampled, labels, threshold, "b"))
     spans = each.filter("estimate is not null").groupBy("statistic").agg(*interval(), F.count("*").alias("n_resamples"))
     return point.join(spans, "statistic", "left")
