@@ -156,6 +156,13 @@ def test_context_errors(spark):
             context.build_contexts(_selection(spark, ids), _visits(spark), budget).collect()
 
 
+def test_headers_beyond_the_budget_may_stand_alone(spark):
+    out = context.build_contexts(_selection(spark, [3, 4]), _visits(spark), 5, headers_alone=True)
+    r = context.survival(out, spark.createDataFrame([(out.first()["key"], [3, 4])], f"key {out.schema['key'].dataType.simpleString()}, gold_ids array<int>")).first()
+    assert r["truncated"] and not r["fully_survived"] and r["n_gold_surviving"] == 0 and r["visit_tokens_after"] == [0, 0]
+    assert r["context"].count("[Visit") == 2 and r["tokens_after"] == r["header_tokens"]
+
+
 def test_gold_visits_raise_and_never_fall_back(spark):
     v = spark.createDataFrame([(101, k, f"d{k}") for k in range(6)], "person_id long, visit_index int, visit_datetime string")
     ev = lambda *rows: spark.createDataFrame([(101, 0, *r) for r in rows], "person_id long, qa_index long, original_visit_index int, visit_datetime string")

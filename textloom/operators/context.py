@@ -43,13 +43,13 @@ def _total(blocks: Column, value: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.transform(blocks, lambda b: value(b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def build_contexts(selection: DataFrame, visits: DataFrame, budget: int, tokenizer: Tokenizer = CHAR) -> DataFrame:
+def build_contexts(selection: DataFrame, visits: DataFrame, budget: int, tokenizer: Tokenizer = CHAR, headers_alone: bool = False) -> DataFrame:
     """One row per selection key with the context and its metadata.
 
     ``selection``: key, person_id, visit_index (a row per selected visit), ``visits``: person_id, visit_index, visit_datetime, text.
     Blocks are chronological. Above the budget each text keeps floor(tokens * available / total) tokens from its start, where
-    available is the budget less headers and separators; headers stay whole. Duplicate or unknown visits and headers beyond the
-    budget raise.
+    available is the budget less headers and separators; headers stay whole. Duplicate or unknown visits raise, and so do headers beyond
+    the budget, unless ``headers_alone``: then such a context is its headers with empty texts, over the budget.
     """
     t = tokenizer
     rows = selection.join(visits.select("person_id", "visit_index", "visit_datetime", "text"), ["person_id", "visit_index"], "left")
@@ -61,7 +61,8 @@ def build_contexts(selection: DataFrame, visits: DataFrame, budget: int, tokeniz
     out = out.withColumn("full", assembled(F.col("b"), "text")).withColumn("total_before", t.count(F.col("full")))
     out = out.withColumn("fixed", _total(F.col("b"), lambda x: t.count(F.concat(x["header"], F.lit("\n")))) + (F.size("b") - 1) * t.count(F.lit(SEPARATOR)))
     out = out.withColumn("truncated", F.col("total_before") > budget).withColumn("sum_before", _total(F.col("b"), lambda x: x["before"]))
-    room = F.when(F.lit(budget) >= F.col("fixed"), F.lit(budget) - F.col("fixed")).otherwise(F.raise_error(F.lit("headers and separators exceed the budget")).cast("long"))
+    beyond = F.lit(0).cast("long") if headers_alone else F.raise_error(F.lit("headers and separators exceed the budget")).cast("long")
+    room = F.when(F.lit(budget) >= F.col("fixed"), F.lit(budget) - F.col("fixed")).otherwise(beyond)
     out = out.withColumn("available", F.when(F.col("truncated"), room))
     keep = lambda x: F.when(F.col("sum_before") > 0, F.floor(x["before"] * F.col("available") / F.nullif(F.col("sum_before"), F.lit(0)))).otherwise(F.lit(0))
 

@@ -164,7 +164,7 @@ def oracle_contexts(spark: SparkSession, sf: str) -> DataFrame:
     visits = _timeline_documents(spark, sf)
     asked = s.questions(spark, sf).select(F.col("question_id").alias("key"), F.col("index_id").alias("person_id"))
     gold = asked.join(visits, "person_id").filter(F.col("doc_id") % 97 == F.col("key") % 97).groupBy("key", "person_id").agg(F.array_sort(F.collect_set("visit_index")).alias("gold_ids"))
-    contexts = context.build_contexts(runs.oracle_selection(gold), visits.drop("doc_id"), 3500)
+    contexts = context.build_contexts(runs.oracle_selection(gold), visits.drop("doc_id"), 3500, headers_alone=True)  # gold however long
     out = context.survival(contexts, gold.select("key", "gold_ids"))
     return out.select("key", "n_gold", "fully_survived", "n_gold_surviving", "truncated", F.md5("context").alias("context_md5"))
 
