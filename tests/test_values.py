@@ -291,3 +291,15 @@ def test_resamples_are_never_broadcast(spark):
         assert all(joins(df) and all(kind in line and "BuildLeft" not in line for line in joins(df)) for df in made)
         found.append([sorted(map(str, df.collect())) for df in made])
     assert found[0] == found[1]
+
+
+def test_chunks_of_wide_rows_are_numbered_once(spark):
+    """Adaptive execution joins more partitions of the narrow rows that are counted than of the wide rows that are numbered."""
+    rows = spark.range(4000).selectExpr("(id * 7919) % 4000 AS id", "transform(sequence(1, 40), x -> sha2(concat(id, '-', x), 256)) AS wide")
+    name, was = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(name, "100k")
+    try:
+        found = {r["id"]: r["chunk"] for r in sampling.fixed_chunks(rows, 10, "id").collect()}
+    finally:
+        spark.conf.set(name, was)
+    assert found == {k: k // 10 for k in range(4000)}

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import written
+
 
 def proportional_allocation(cells: DataFrame, total: int, ties: list[str]) -> DataFrame:
     """Adds alloc to cells (.., n): floor(total * n / sum) but at least 1, then +1 by descending remainder until the total.
@@ -104,10 +106,14 @@ def donors(items: DataFrame, item: str, person: str, seed: int = 42) -> DataFram
 
 
 def fixed_chunks(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """Adds chunk = position div size in a total order, by per-partition counts (no single-task window over all rows)."""
+    """Adds chunk = position div size in a total order, by per-partition counts (no single-task window over all rows).
+
+    The numbered rows are written to the shared folder before they are counted: planned twice, adaptive execution may join other
+    partitions for the counts (whose rows are narrower) than for the rows, and numbers would repeat or leave gaps.
+    """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("part", F.spark_partition_id()).withColumn("local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    # Sizes need the same partitioning twice; it is deterministic for equal input, since ranges come from a seeded sample.
+    numbered = written(numbered, "numbered")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("c"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = sizes.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
