@@ -173,3 +173,19 @@ def test_vectors_must_be_contiguous(spark, tmp_path):
         readers.read_vectors(spark, str(tmp_path / "v"), 2)
     with pytest.raises(IntegrityError):
         readers.read_vectors(spark, str(tmp_path / "v"), 3)
+
+
+def test_sessions_of_events_equal_the_sql(spark, tmp_path):
+    """Thirty days in files of one range of days each, gaps of exactly six hours and just under, equal times, no user and no time."""
+    import duckdb
+
+    from textloom.plans import catalog
+
+    rows = [(k, (k * 7919) % 2592000, (k % 9) or None) for k in range(3000)]
+    rows += [(5000 + k, at, 77) for k, at in enumerate((0, 21600, 43199, 43199, 64799, 90000, 111600, 133200, None, None))]
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long")
+    df.selectExpr("event_id", "CAST(timestamp_seconds(1704067200 + s) AS timestamp_ntz) AS ts", "user_id", "'click' AS event_type", "1.5D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["stream_sessions"](spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(catalog.ORACLE_SQL["stream_sessions"]).fetchall(), key=str)

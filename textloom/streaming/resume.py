@@ -43,4 +43,8 @@ def windowed_counts(stream: DataFrame, time: str, length: str, delay: str, *keys
 
 
 def sessions(stream: DataFrame, time: str, gap: str, delay: str, *keys: str) -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
+    """Counts per session and keys; a row ``gap`` or more after the one before opens a session. Spark joins rows that are exactly the gap
+    apart, so it is given the gap less a microsecond, the step of timestamps."""
+    counts = stream.withWatermark(time, delay).groupBy(F.session_window(time, f"{gap} -1 microsecond"), *keys).agg(F.count("*").alias("n"))
+    window = F.col("session_window")
+    return counts.withColumn("session_window", F.struct(window["start"].alias("start"), (window["end"] + F.expr("INTERVAL 1 MICROSECOND")).alias("end")))
