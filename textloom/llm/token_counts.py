@@ -70,7 +70,9 @@ class PairMerger:
         self.find_all = regex.compile(PRE_TOKENS).findall
         self.pre_tokenize = pre_tokenize
         disputed = disputed_characters(pre_tokenize) if pre_tokenize else ""
-        self.disputed = regex.compile(f"[{regex.escape(disputed)}]").search if disputed else None
+        # A class of thousands of characters is looked through for each character of a text; most texts have none from the least on.
+        self.disputed = frozenset(disputed)
+        self.suspect = regex.compile(f"[{min(disputed)}-\U0010ffff]").search if disputed else None
         self.cache_entries = cache_entries
         self.counts = _Counts(self)
 
@@ -104,7 +106,7 @@ class PairMerger:
 
     def find(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
-        if self.disputed and not text.isascii() and self.disputed(text):
+        if self.disputed and not text.isascii() and self.suspect(text) and not self.disputed.isdisjoint(text):
             return [text[a:b] for _, (a, b) in self.pre_tokenize(text)]
         return self.find_all(text)
 
