@@ -278,3 +278,17 @@ def test_disputed_characters_are_looked_up_not_searched():
         begin = time.process_time()
         assert counts.find(text)[0] == text[0]
         assert time.process_time() - begin < 2.5
+
+
+def test_texts_are_sent_to_sampling_once_and_masked_in_slices(spark, monkeypatch):
+    """A carried text is not sent beside a copy of itself, and masking works on slices of a batch, nulls and long rows included."""
+    from textloom.llm import piece_sampling, pii
+
+    docs = spark.createDataFrame([(1, "to a@b.org now", "x"), (2, None, "y"), (3, "", "z"), (4, "plain words", None)], "doc_id long, text string, lang string")
+    sampled = piece_sampling.add_pieces(docs)
+    assert "__text" not in sampled._jdf.queryExecution().analyzed().toString()
+    got = {r.doc_id: r for r in sampled.collect()}
+    alone = {r.doc_id: r for r in piece_sampling.add_pieces(docs, carried=["doc_id"]).collect()}
+    assert all(r.lossless and r.pieces == alone[k].pieces for k, r in got.items()) and got[2].text is None and got[2].n_pieces == 0
+    monkeypatch.setattr(pii, "SLICE_BYTES", 5)
+    assert {r.doc_id: r.text for r in pii.mask_pii(docs).collect()} == {1: pii.masked("to a@b.org now"), 2: None, 3: "", 4: "plain words"}

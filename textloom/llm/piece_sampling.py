@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from .textarrays import bytes_of, lean, mix, _power_table
+from .textarrays import lean, mix, row_slices, _power_table
 from .vocabularies import public_path
 
 SPACE_MARK = 0x2581
@@ -248,15 +248,6 @@ def sample_texts(texts: list[str], keys: np.ndarray, vocabulary: Pieces, config:
     return ids, ends[np.searchsorted(kept, bounds)]
 
 
-def _row_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
-    _, offsets = bytes_of(column)
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        yield at, to
-        at = to
-
-
 def add_pieces(docs: DataFrame, config: PieceConfig = PieceConfig(), carried: list[str] | None = None) -> DataFrame:
     """The carried columns (default: all but earlier results) and pieces array<int>, n_pieces, lossless.
 
@@ -265,15 +256,17 @@ def add_pieces(docs: DataFrame, config: PieceConfig = PieceConfig(), carried: li
     added = ("pieces", "n_pieces", "lossless")
     names = [c for c in docs.columns if c not in added] if carried is None else carried
     vocabulary = config.vocabulary or public_path("piece_bpe_32k.model")
-    source = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), F.xxhash64(F.col("doc_id").cast("string")).alias("__key"))
+    own = "text" in names and docs.schema["text"].dataType.simpleString() == "string"  # then the text is sent once
+    text = [] if own else [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")]
+    source = docs.select(*names, *text, F.xxhash64(F.col("doc_id").cast("string")).alias("__key"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name not in ("__text", "__key")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = pieces(vocabulary, config.sharpness)
         for batch in batches:
-            for a, b in _row_slices(batch.column("__text"), config.slice_bytes):
+            for a, b in row_slices(batch.column("text" if own else "__text"), config.slice_bytes):
                 part = batch.slice(a, b - a)
-                texts = part.column("__text").to_pylist()
+                texts = [t or "" for t in part.column("text" if own else "__text").to_pylist()]
                 ids, offsets = sample_texts(texts, part.column("__key").to_numpy(), table_, config)
                 same = [table_.decode(ids[x:y]) == t for t, x, y in zip(texts, offsets[:-1], offsets[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table, with_text
+from .textarrays import lean, row_slices, SLICE_BYTES
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "secret")
@@ -186,11 +187,13 @@ def mask_pii(docs: DataFrame, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else masked(t) for t in batch.column(column).to_pylist()]
             at = batch.schema.get_field_index(column)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for a, b in row_slices(batch.column(at), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                texts = [None if t is None else masked(t) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    return docs.withColumn(column, F.col(column).cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(column, F.col(column).cast("string")).mapInArrow(lean(run), docs.schema)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1_000_000
 
@@ -113,6 +114,16 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES, table: np.ndarray | None
         at = to
 
 
+def row_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows with at most ``limit`` bytes (one row may exceed it), from the lengths alone: the bytes are not copied."""
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def same_row_windows(row: np.ndarray, size: int) -> np.ndarray:
     """Indexes i of words for which words i .. i + size - 1 lie in one row."""
     if len(row) < size:
