@@ -431,3 +431,38 @@ def test_scratch_tables_are_deleted(spark):
     gone = tables._PATHS[-1]
     tables.discard_scratch(spark, mark)
     assert not Path(gone).exists() and tables.scratch_mark() == mark
+
+
+def test_near_dedup_finds_all_pairs_of_short_texts(spark):
+    """Classes of texts of 4 to 14 words equal those of all pairs by plain edit distance; a changed word leaves few common shingles."""
+    from textloom.llm.near_dedup import near_dedup
+
+    rng = random.Random(8)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(6000)}" for _ in range(rng.randint(4, 14))]
+        texts.append(base)
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.choice((0, 1, 1))] = rng.choice(([], [f"v{rng.randrange(9)}"], [f"v{rng.randrange(9)}"]))
+                t = t or ["x"]
+            texts.append(t)
+    texts = [t for t in texts if len(t) <= 14]
+    low = list(range(len(texts)))
+    alike = [(i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j]) if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    for _ in texts:
+        for i, j in alike:
+            low[i] = low[j] = min(low[i], low[j])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup(docs).collect()} == dict(enumerate(low))

@@ -17,7 +17,8 @@ on the driver. Labels of leaders and classes are joined with salted keys; member
 What is found: with the default 48 sketches of 2 shingles a pair with 3-word shingle resemblance J meets at least once with
 probability about 1 - (1 - J**2)**48. Word substitutions scattered over a text leave J near 0.34 at edit similarity 0.8, 0.44 at
 0.85 and 0.57 at 0.9, so even at the accepted similarity few pairs never meet. A pair that meets only under leaders that are like
-neither of the two is looked for again in the rounds; tests hold this against all pairs of 2,000 texts that share an opening.
+neither of the two is looked for again in the rounds; tests hold this against all pairs of 2,000 texts that share an opening. Short
+texts (up to 14 words at 0.8) may be alike without a common shingle; buckets of their own (``short_keys``) lose none of their pairs.
 Classes are the components of all verified links. Alignment takes memory linear in the two texts.
 
 Defined results: null and empty texts are copies of each other; texts under ``k`` words match if their words are equal. Repeated
@@ -129,23 +130,81 @@ def sketch(part: TextSlice, config: NearDedupConfig, seed: int = 0) -> np.ndarra
     return out
 
 
+def short_keys(words: tuple[int, ...], least: float) -> set[int]:
+    """Bucket keys by which all pairs of short texts (an edit distance of up to 2 accepted) meet, bit 0 set unless the text may lead.
+
+    Texts of one bucket are alike, or alike to each text that may lead, so comparing them with one such leader loses no link. Equal
+    lengths: words but for one or two places, or but for one word at any places. A shorter text leads what gives it by leaving out
+    one word (and, with two edits, by changing another) or two.
+    """
+
+    def limit(size: int) -> int:
+        return int(np.floor((1 - least) * size + 1e-9))
+
+    n, keys = len(words), set()
+
+    def add(*key: object, led: int = 0) -> None:
+        keys.add(hash((n - len_cut, *key)) & ~1 | led)
+
+    len_cut = 0
+    own, one, two = limit(n), limit(n + 1), limit(n + 2)
+    without = [words[:i] + words[i + 1 :] for i in range(n)]
+    pairs = [words[:i] + words[i + 1 : j] + words[j + 1 :] for j in range(n) for i in range(j)] if own == 2 else []
+    if own == 1:
+        for i, w in enumerate(without):
+            add(1, i, w)
+    if own == 2:
+        for w in without:
+            add(2, w)
+        for at, w in zip([(i, j) for j in range(n) for i in range(j)], pairs):
+            add(3, at, w)
+    if one == 1:
+        add(4, words)
+    if one == 2:
+        for i, w in enumerate(without):
+            add(5, i, w)
+    if two == 2:
+        add(6, words)
+    len_cut = 1
+    if own == 1:
+        for w in without:
+            add(4, w, led=1)
+    if own == 2:
+        for w in set(without):
+            for i in range(n - 1):
+                add(5, i, w[:i] + w[i + 1 :], led=1)
+    len_cut = 2
+    for w in pairs:
+        add(6, w, led=1)
+    return keys
+
+
+def short_lists(part: TextSlice, least: float) -> list[list[int]]:
+    """``short_keys`` of a slice's texts; those for which more than two edits are accepted have none."""
+    start, end, row = part.words()
+    h = part.hash_spans(start, end).view(np.int64)
+    cut = np.searchsorted(row, np.arange(part.n + 1))
+    return [sorted(short_keys(tuple(h[a:b].tolist()), least)) if 0 < b - a < 3 / (1 - least) + 1e-9 else [] for a, b in zip(cut[:-1], cut[1:])]
+
+
 def signatures(docs: DataFrame, config: NearDedupConfig) -> DataFrame:
-    """(doc_id, node, n_words, sketches) of every row; node is the digest of the text."""
+    """(doc_id, node, n_words, sketches, short) of every row; node is the digest of the text, short its ``short_keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, values = [], []
+            words, values, short = [], [], []
             for part in slices(batch.column("text"), table=LOWER_ASCII):
+                short += short_lists(part, config.similarity)
                 words.append(np.bincount(part.words()[2], minlength=part.n))
                 values.append(sketch(part, config).view(np.int64))
             if not words:
                 continue
             flat = pa.array(np.concatenate(values).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * config.sketches), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.concatenate(words)), lists], ["doc_id", "node", "n_words", "sketches"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(np.concatenate(words)), lists, pa.array(short, pa.list_(pa.int64()))], ["doc_id", "node", "n_words", "sketches", "short"])
 
     source = with_text(docs, "doc_id").select("doc_id", F.unhex(F.md5("text")).alias("node"), "text")
-    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node binary, n_words long, sketches array<long>")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node binary, n_words long, sketches array<long>, short array<long>")
 
 
 def word_classes(n_words: np.ndarray, least: float) -> np.ndarray:
@@ -310,6 +369,14 @@ def star(members: DataFrame) -> DataFrame:
     return members.join(heads.hint("merge"), "bucket").filter("node != leader").select("bucket", "node", "leader")
 
 
+def led(members: DataFrame) -> DataFrame:
+    """(node, leader) of the members (bucket, node) of ``short_keys``: the leader is the least node of those that may lead."""
+    members = members.select(F.shiftright("bucket", 1).alias("bucket"), "node", (F.col("bucket") % 2 == 0).alias("leads"))
+    heads = members.groupBy("bucket").agg(F.min(F.when(F.col("leads"), F.col("node"))).alias("leader"), F.min("node").alias("low"), F.max("node").alias("high"))
+    heads = heads.filter("leader is not null and low != high").select("bucket", "leader").repartition("bucket")
+    return members.join(heads.hint("merge"), "bucket").filter("node != leader").select("node", "leader").distinct()
+
+
 def celled(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     """The members (bucket, node) dealt to smaller buckets by ``word_classes``: a text is in two cells, its own class and the next, so
     texts of neighbouring classes share one."""
@@ -324,12 +391,13 @@ def near_duplicate_links(docs: DataFrame, config: NearDedupConfig = NearDedupCon
     rows = written(signatures(docs, config), "sketches")
     end = scratch_mark()
     members = written(rows.select("doc_id", "node"), "members")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"), F.first("short").alias("short"))
     buckets = nodes.select("node", F.explode("sketches").alias("bucket"))
     stars = written(star(buckets), "stars")  # bucket, node, leader
+    met = stars.select("node", "leader").union(written(led(nodes.select("node", F.explode("short").alias("bucket"))), "short"))
 
     # Texts of all nodes that share a bucket with another one, one row per node.
-    wanted = written(stars.select("node").union(stars.select("leader")).distinct(), "candidates")
+    wanted = written(met.select("node").union(met.select("leader")).distinct(), "candidates")
     drop_finished_shuffles(docs.sparkSession)
     discard_scratch(docs.sparkSession, begin, end)
     reps = wanted.join(members.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
@@ -355,7 +423,7 @@ def near_duplicate_links(docs: DataFrame, config: NearDedupConfig = NearDedupCon
         drop_finished_shuffles(docs.sparkSession)
         return labels
 
-    labels = settle(stars.select("node", "leader").distinct(), labels)
+    labels = settle(met.distinct(), labels)
     # What is left of the buckets is dealt by text length and gets new leaders; its members get new sketches, too, and these go on as
     # long as that is worth while.
     left = written(different(stars, labels, config.broadcast_nodes).select("bucket", "node").distinct(), "left")
