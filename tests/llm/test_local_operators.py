@@ -292,3 +292,13 @@ def test_texts_are_sent_to_sampling_once_and_masked_in_slices(spark, monkeypatch
     assert all(r.lossless and r.pieces == alone[k].pieces for k, r in got.items()) and got[2].text is None and got[2].n_pieces == 0
     monkeypatch.setattr(pii, "SLICE_BYTES", 5)
     assert {r.doc_id: r.text for r in pii.mask_pii(docs).collect()} == {1: pii.masked("to a@b.org now"), 2: None, 3: "", 4: "plain words"}
+
+
+def test_stops_beside_signs_are_found_by_code_point():
+    """The lookup equals the pattern for every sign, letter and space on either side of a stop, beyond the first 65,536 code points too."""
+    import re
+
+    pattern = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_[.,]|[.,]_").search
+    some = [chr(c) for c in (*range(0x3000), 0xFF0C, 0xFF3F, 0x10000, 0x1D7D8, 0x1F600, 0x10FFFF)]
+    for text in ["", ".", ",", "a.b", "a,,b", "a. ,b", "_a.", *(t for c in some for t in (f"a{c}.b", f"a,{c}b", f"{c} ."))]:
+        assert token_output.stop_beside_sign(text) == bool(pattern(text)), text

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -69,6 +70,21 @@ def allows_pieces(vocabulary: str) -> bool:
     return added and {k: rules.get(k) for k in PIECE_RULES} | {"model": model} == PIECE_RULES
 
 
+@lru_cache(maxsize=1)
+def _sign_weights() -> np.ndarray:
+    """By code point: 3 for a full stop and a comma, 1 for any other sign, 0 for white space, letters and digits."""
+    weights = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    weights[[ord(c) for c in re.findall(r"[^\w\s]|_", "".join(map(chr, range(sys.maxunicode + 1))))]] = 1
+    weights[[ord("."), ord(",")]] = 3
+    return weights
+
+
+def stop_beside_sign(text: str) -> bool:
+    """Whether a full stop or comma has a sign (another stop as well) beside it."""
+    weight = _sign_weights()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    return len(weight) > 1 and bool((weight[1:] + weight[:-1]).max() > 3)
+
+
 class PieceEncoder:
     """Texts -> little-endian ids, as bytes of ``kind`` (16 bits where the vocabulary allows it).
 
@@ -91,7 +107,6 @@ class PieceEncoder:
         self.cache_entries = cache_entries
         self.known: dict[str, bytes] = {}
         self.met_again: set[str] = set()
-        self.beside_signs = re.compile(r"[.,][^\w\s]|[^\w\s][.,]|_[.,]|[.,]_").search
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -99,33 +114,26 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def pieces(self, text: str) -> tuple[list[str] | None, str | None]:
-        """(pieces, lower-case text they were cut from or None). Pieces encode to the text's ids one by one; None: encode it whole.
+    def pieces(self, text: str) -> list[str] | None:
+        """Pieces that encode to the text's ids one by one; None: encode it whole.
 
         The vocabulary normalises to NFC, lower-cases character by character and cuts letters, digits and runs of other signs
         apart. Where the text and its lower case are NFC already (and no capital sigma, whose lower case depends on its place,
-        occurs) the lower-case text has the same ids; a full stop or comma is a piece of its own if no other sign is beside it,
-        which ``encode`` sees to.
+        occurs) the lower-case text has the same ids; a full stop or comma is a piece of its own if no other sign is beside it.
         """
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None, None
+            return None
         if "\u03a3" not in text and is_normalized("NFC", text):
             low = text.lower()
-            if "<|" not in low and is_normalized("NFC", low):
-                return low.replace(".", " . ").replace(",", " , ").split(), low
-        return text.split(), None
+            if "<|" not in low and is_normalized("NFC", low) and not stop_beside_sign(low):
+                return low.replace(".", " . ").replace(",", " , ").split()
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return [self.whole(t) for t in texts]
-        cut = [self.pieces(t) for t in texts]
-        pieces = [p for p, _ in cut]
+        pieces = [self.pieces(t) for t in texts]
         distinct = set().union(*(p for p in pieces if p))
-        signs = {w for w in distinct if not w.isalnum()} - {".", ","}
-        for k, (own, low) in enumerate(cut):
-            if low is not None and (any(pair in low for pair in ("..", ".,", ",.", ",,")) or not signs.isdisjoint(own)) and self.beside_signs(low):
-                pieces[k] = texts[k].split()
-                distinct.update(pieces[k])
         new = distinct.difference(self.known)
         if 2 * len(self.known) > self.cache_entries:
             self.met_again |= distinct - new
@@ -145,7 +153,7 @@ class PieceEncoder:
         others = [w for w in new if not w.isalpha()]
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
+            ids = np.array(self.encode_batch([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * width
             if len(ends) != len(some):  # a letter whose lower case has a mark that is cut off, or no word ends in this vocabulary
                 others += some
