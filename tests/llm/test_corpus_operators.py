@@ -466,3 +466,23 @@ def test_near_dedup_finds_all_pairs_of_short_texts(spark):
             low[i] = low[j] = min(low[i], low[j])
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup(docs).collect()} == dict(enumerate(low))
+
+
+def test_katz_sends_bounded_batches_and_joins_no_list_of_contexts(spark):
+    """Python batches have a bound in bytes; the parts of frequent contexts come from their counts, without a join."""
+    from textloom.llm.tables import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    df = spark.range(400).select("id", F.repeat(F.lit("word "), 2000).alias("text")).coalesce(1)
+    with small_batches(spark, "256k"):
+        assert max(r.n for r in df.mapInArrow(sizes, "n long").collect()) <= 30
+    config = katz_model.KatzConfig(tokens_per_bucket=40)
+    model = katz_model.fit(spark.createDataFrame([(k, f"a b a c{k} a b") for k in range(60)], "doc_id long, text string"), config)
+    buckets = katz_model._bucketed_contexts(model, config)
+    assert "Join" not in buckets._jdf.queryExecution().optimizedPlan().toString()
+    words = {int(w): int(p) for w, p in zip(model.hot["word"], model.hot["parts"])}
+    assert max(words.values()) > 1
+    assert {int(np.int64(r["context"]).view(np.uint64)): r["count"] for r in buckets.groupBy("context").count().filter("count > 1").collect()} == {w: p for w, p in words.items() if p > 1}

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import discard_scratch, drop_finished_shuffles, scratch_mark, table, with_text, written
+from .tables import discard_scratch, drop_finished_shuffles, scratch_mark, small_batches, table, with_text, written
 from .textarrays import LOWER_ASCII, TextSlice, lean, lean_group, mix, return_freed_arrays, slices
 
 
@@ -51,6 +51,7 @@ class KatzConfig:
     block_tokens: int = 450_000
     rounds: int = 3
     page_rounds: int = 3
+    batch_bytes: str = "6m"
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -251,6 +252,11 @@ class KatzModel:
     buckets: int
 
 
+def _frequent(config: KatzConfig) -> int:
+    """Contexts of more tokens than this are split."""
+    return max(config.tokens_per_bucket // 4, 1)
+
+
 def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     spark = docs.sparkSession
     counted = written(unigram_counts(docs, config), "unigrams")
@@ -273,12 +279,11 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     unigrams = counted.select("word", "count", log_p(F.col("count")).alias("log_p"))
     # Frequent contexts, to be split; at most 4 * buckets of them since each has over a quarter of a bucket's tokens.
     buckets = max(1, math.ceil(N / config.tokens_per_bucket))
-    least = max(config.tokens_per_bucket // 4, 1)
+    least = _frequent(config)
     frequent = counted.filter((F.col("count") > least) & (F.col("word") != signed(END))).collect()
     rows = [(np.int64(r["word"]).astype(np.uint64), math.ceil(r["count"] / least)) for r in frequent]
     if end_count > least:
         rows.append((BEGIN, math.ceil(end_count / least)))
-    rows.append((END, 1))  # never a context; with it the list is not empty, and plans are the same at every size
     rows.sort()
     hot = {"word": np.array([r[0] for r in rows], dtype=np.uint64), "parts": np.array([min(r[1], buckets) for r in rows], dtype=np.int64)}
 
@@ -309,13 +314,12 @@ def fit(docs: DataFrame, config: KatzConfig = KatzConfig()) -> KatzModel:
     return KatzModel(unigrams, bigrams, contexts, d2, N, V, log_unknown, end_count, log_end, hot, buckets)
 
 
-def _bucketed_contexts(model: KatzModel) -> DataFrame:
-    """(bucket, context, count, log_p, scale, backoff): the contexts in each bucket that their pairs go to."""
-    spark, B = model.contexts.sparkSession, F.lit(model.buckets)
-    words = [(int(np.uint64(w).view(np.int64)), int(p)) for w, p in zip(model.hot["word"], model.hot["parts"])]
-    hot = F.broadcast(spark.createDataFrame(words, "context long, parts long"))  # at most 4 * buckets rows
-    parts = F.least(F.coalesce("parts", F.lit(1).cast("long")), B.cast("long"))
-    spread = model.contexts.join(hot, "context", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+def _bucketed_contexts(model: KatzModel, config: KatzConfig) -> DataFrame:
+    """(bucket, context, count, log_p, scale, backoff): the contexts in each bucket that their pairs go to. The parts of a frequent one
+    follow from its count, as in ``fit``."""
+    B, least = F.lit(model.buckets), _frequent(config)
+    parts = F.when(F.col("count") > least, F.least(F.ceil(F.col("count") / least), B.cast("long"))).otherwise(F.lit(1).cast("long"))
+    spread = model.contexts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return spread.select(F.pmod(F.shiftrightunsigned("context", 16) + F.col("part"), B).cast("int").alias("bucket"), "context", "count", "log_p", F.col("log_scale").alias("scale"), F.col("log_backoff").alias("backoff"))
 
 
@@ -448,7 +452,7 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
     # The key stands for all rows of equal id and text; their sums add up and are divided by their number below.
     keyed = with_text(docs, "doc_id").withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     schema = "part int, " + ", ".join(f"{c} binary" for c in (*_SUMS, "words"))
-    contexts = _bucketed_contexts(model)
+    contexts = _bucketed_contexts(model, config)
     none = lambda *columns: [F.lit(None).cast(t).alias(c) for c, t in columns]
     arrays = ["contexts", "runs", "tokens", "counts"]
     numbers = [("context", "long"), ("count", "long"), ("log_p", "double"), ("scale", "double"), ("backoff", "double")]
@@ -484,7 +488,8 @@ def score(docs: DataFrame, model: KatzModel, config: KatzConfig = KatzConfig())
 
 
 def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame:
-    return score(docs, fit(docs, config), config)
+    with small_batches(docs.sparkSession, config.batch_bytes):
+        return score(docs, fit(docs, config), config)
 
 
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,19 @@ def with_text(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(c) for c in columns], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """What is executed inside sends Python batches of some ``size`` at most (one row more). By default a batch may be 64 MB, which an
+    executor holds in its JVM, while it grows twice, and in Python as well, for every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 LONG = T.LongType()
 
 
