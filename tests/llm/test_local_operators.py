@@ -302,3 +302,38 @@ def test_stops_beside_signs_are_found_by_code_point():
     some = [chr(c) for c in (*range(0x3000), 0xFF0C, 0xFF3F, 0x10000, 0x1D7D8, 0x1F600, 0x10FFFF)]
     for text in ["", ".", ",", "a.b", "a,,b", "a. ,b", "_a.", *(t for c in some for t in (f"a{c}.b", f"a,{c}b", f"{c} ."))]:
         assert token_output.stop_beside_sign(text) == bool(pattern(text)), text
+
+
+def test_pieces_with_known_halves_need_no_library():
+    """Signs behind a known word, or its upper case, cost no further call of the library, whatever the number of combinations."""
+    vocabulary = public_path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(vocabulary), token_output.PieceEncoder(vocabulary, 1000)
+    coder.encode(["one été straße $$$ ,%%% . ,"], 2)
+    coder.tokenizer = coder.plain = None  # any call fails
+    texts = ["ONE One$$$ ÉTÉ,%%% one,%%%\nstraße$$$ été. ONE, Straße", "", " one\t$$$ "]
+    expected = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    ids, lengths = coder.encode(texts, 2)
+    assert ids.tolist() == sum(expected, []) and lengths.tolist() == [len(x) for x in expected]
+
+
+@pytest.mark.parametrize("entries", [5, 60, 100_000])
+def test_pieces_equal_the_library_while_they_are_forgotten(entries):
+    vocabulary = public_path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(vocabulary), token_output.PieceEncoder(vocabulary, entries)
+    assert token_output.WIDE_SPACE.tolist() == [c for c in range(0x80, 0x110000) if chr(c).isspace()]
+    some = ["the", "The", "don't", "DON'T", "x.", "a,b", "U.S.", "end.%%%", "foo$$$", "FOO!!", "<|endoftext|>", "a<|EndOfText|>", "</w>", "a</w>", "'S", "~~~é", "É!!", "œuvre", "Ÿ", "İ", "Σσ", "é", "KÅ", "7²", "中文", "да"]
+    spaces, rnd = [" ", "\n", "　", "\x85", " ", " \x1c", ""], random.Random(12)
+    texts = ["", "　\x1c", *("".join(rnd.choice(some) + rnd.choice(spaces) for _ in range(rnd.randrange(20))) for _ in range(1500))]
+    for at in range(0, len(texts), 40):
+        part = texts[at : at + 40]
+        ids, lengths = coder.encode(part, 2)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in part]
+
+
+def test_token_stream_of_short_slices(spark, tmp_path):
+    """Slices of a few bytes, texts longer than a slice among them, give the stream of the default ones."""
+    docs = frame(spark, [None, "", "a word", "x" * 300, *odd_texts(200, 6)])
+    whole = token_output.token_output(docs, str(tmp_path / "whole")).collect()
+    short = token_output.token_output(docs, str(tmp_path / "short"), token_output.TokenOutputConfig(slice_bytes=50)).collect()
+    assert sorted(short) == sorted(whole)
